@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfold.llm import neardup
+from tallyfold.llm.history import FingerprintStore
 from tallyfold.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +15,12 @@ TEXTS = ["org_name", "opportunity_title", "description_long"]
 ALIKE = 0.7  # the share of common words from which TESTDATA.md calls two rows alike
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history becomes a store; the batches, in their order of arrival by ord, are held against it."""
+    store = FingerprintStore.create(table(spark, sf_dir, "volops_dallasdoinggood"), "ord", "id", TEXTS, "description_long", ALIKE)
+    return store.ingest(table(spark, sf_dir, "volops_batches")).toDF("seen_ord", "new_ord")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "volops_dallasdoinggood")
     return neardup.near_duplicates(rows, "ord", TEXTS, "description_long", ALIKE).toDF("ord_a", "ord_b")
@@ -24,4 +31,4 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(rows, "ord", TEXTS, "description_long", ALIKE).toDF("ord", "class_ord", "n_links")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_classes)}
