@@ -30,7 +30,7 @@ def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     reducers = blocks.partitions_for(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cells = wordsets.frequencies(sets)
     sent = blocks.postings(sets, cells, wordsets.rare_limit(n), threshold, 2, 8 * reducers)
-    near = blocks.candidates(sent.repartition(reducers, "dest"), threshold)
+    near = materialize(blocks.candidates(sent.repartition(reducers, "dest"), threshold), "near")  # used three times
     return blocks.verified(near, sets, threshold)
 
 
