@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import neardup
+from tallyfold.llm import neardup, neighbours
 from tallyfold.llm.history import FingerprintStore
 from tallyfold.storage import table
 
@@ -31,4 +31,8 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(rows, "ord", TEXTS, "description_long", ALIKE).toDF("ord", "class_ord", "n_links")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_classes)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "opportunities"), "row_no", "embedding")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_classes, p5_found)}
