@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyfold.llm import neardup, neighbours
+from tallyfold.llm import neardup, neighbours, survivors
 from tallyfold.llm.history import FingerprintStore
 from tallyfold.storage import table
 
@@ -15,6 +16,17 @@ TEXTS = ["org_name", "opportunity_title", "description_long"]
 ALIKE = 0.7  # the share of common words from which TESTDATA.md calls two rows alike
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = survivors.fuse(table(spark, sf_dir, "volops_dallasdoinggood"), table(spark, sf_dir, "source_ranks"))
+    return fused.select(F.col("group_key").alias("group_ord"), F.col("source_key").alias("source_ord"), F.col("scraped_key").alias("scraped_ord"), F.col("schedule_key").alias("schedule_ord"))
+
+
+def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule that copy-discounted votes favour, and how sure they are, for every group."""
+    fused = survivors.fuse(table(spark, sf_dir, "volops_dallasdoinggood"), table(spark, sf_dir, "source_ranks"))
+    return fused.select(F.col("group_key").alias("group_ord"), "n_rows", "claims", "schedule", F.round("schedule_p", 6).alias("schedule_p"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history becomes a store; the batches, in their order of arrival by ord, are held against it."""
     store = FingerprintStore.create(table(spark, sf_dir, "volops_dallasdoinggood"), "ord", "id", TEXTS, "description_long", ALIKE)
@@ -35,4 +47,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "opportunities"), "row_no", "embedding")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_classes, p5_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p5_found)}
