@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import neardup, neighbours, survivors
+from tallyfold.llm import canon, neardup, neighbours, survivors
 from tallyfold.llm.history import FingerprintStore
 from tallyfold.storage import table
 
@@ -47,4 +47,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "opportunities"), "row_no", "embedding")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p5_found)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "gazetteer").select(F.col("gaz_id").alias("id"), F.col("city").alias("name"))
+    rows = table(spark, sf_dir, "volops_dallasdoinggood")
+    return canon.match_places(rows, "ord", F.col("address.city"), F.col("address.full"), entries).toDF("ord", "gaz_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p5_found, p6_found)}
