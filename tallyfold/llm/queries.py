@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import canon, neardup, neighbours, survivors
+from tallyfold.llm import canon, names, neardup, neighbours, survivors
 from tallyfold.llm.history import FingerprintStore
 from tallyfold.storage import table
 
@@ -43,6 +43,17 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(rows, "ord", TEXTS, "description_long", ALIKE).toDF("ord", "class_ord", "n_links")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variants(table(spark, sf_dir, "volops_dallasdoinggood"), "org_name")
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per spelling: how many spellings its body has, and the smallest of them."""
+    found = names.entities(table(spark, sf_dir, "volops_dallasdoinggood"), "org_name")
+    size = found.groupBy("entity").agg(F.min("name").alias("first_name"), F.count("*").alias("n_names"))
+    return found.join(size, "entity").select("name", "first_name", "n_names")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "opportunities"), "row_no", "embedding")
 
@@ -53,4 +64,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.match_places(rows, "ord", F.col("address.city"), F.col("address.full"), entries).toDF("ord", "gaz_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p5_found, p6_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p6_found)}
