@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import canon, names, neardup, neighbours, survivors
+from tallyfold.llm import canon, mixing, names, neardup, neighbours, packing, survivors, tokens
 from tallyfold.llm.history import FingerprintStore
-from tallyfold.storage import table
+from tallyfold.storage import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEXTS = ["org_name", "opportunity_title", "description_long"]
@@ -64,4 +64,29 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.match_places(rows, "ord", F.col("address.city"), F.col("address.full"), entries).toDF("ord", "gaz_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p6_found)}
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = materialize(tokens.sized(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
+    return packing.packed(sizes, table(spark, sf_dir, "pack_limits")).withColumnRenamed("key", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are, and how even their costs."""
+    found = packing.fill(p7_packing(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
+    return found.select("limit_id", "capacity_tokens", "containers", "tokens", F.round("fill", 6).alias("fill"), F.round("cost_spread", 6).alias("cost_spread"))
+
+
+def _sizes_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(tokens.sized(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source",)), "sizes")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(_sizes_by_source(spark, sf_dir), table(spark, sf_dir, "mix_targets")).withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares really reached."""
+    sizes, targets = _sizes_by_source(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.draw(sizes, targets), sizes, targets).withColumn("actual_share", F.round("actual_share", 6))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p6_found, p7_packing, p7_fill, p8_mix, p8_shares)}
