@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import canon, mixing, names, neardup, neighbours, packing, survivors, tokens
+from tallyfold.llm import canon, mixing, names, neardup, neighbours, packing, sentences, survivors, tokens
 from tallyfold.llm.history import FingerprintStore
 from tallyfold.storage import materialize, table
 
@@ -89,4 +89,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.draw(sizes, targets), sizes, targets).withColumn("actual_share", F.round("actual_share", 6))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p6_found, p7_packing, p7_fill, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p6_found, p7_packing, p7_fill, p8_mix, p8_shares, p9_found)}
