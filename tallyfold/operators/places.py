@@ -13,14 +13,22 @@ def resolved(listings: DataFrame, gazetteer: DataFrame, bodies: DataFrame) -> Da
     """(ord, city, lat, lng, precision, resolved_from): the first of address.city, the body's city, address.full and the
     body's name that contains a gazetteer name as whole words, the longest such name, the first of equals; virtual listings have no place.
 
-    The gazetteer is a short fixed list: the distinct candidate texts, not the rows, meet it, and Spark sends it to the
-    tasks only below its broadcast threshold."""
+    Containment is an equality join: the distinct candidate texts give their runs of words, up to as many words as
+    the longest name has, and these meet the names. No pair of a text and a name that it lacks is ever formed."""
     towns = gazetteer.select(match_key(F.col("city")).alias("name"), "city", "lat", "lng", "gaz_id").where("name <> ''")
     homes = bodies.select(F.col("id").alias("org_id"), F.col("city").alias("home"))
     rows = listings.select("ord", "org_id", "org_name", F.coalesce("is_virtual", F.lit(False)).alias("virtual"), F.col("address.city").alias("c1"), F.col("address.full").alias("c3")).join(homes, "org_id", "left")
     named = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(s).alias("source"), match_key(c).alias("key")) for i, (s, c) in enumerate((("address.city", F.col("c1")), ("org.city", F.col("home")), ("address.full", F.col("c3")), ("org_name", F.col("org_name"))))])
     tried = rows.where("not virtual").select("ord", F.explode(named).alias("t")).select("ord", "t.*").where("key <> ''")
-    hits = tried.select("key").distinct().join(towns, F.expr("contains(concat(' ', key, ' '), concat(' ', name, ' '))"))
+    longest = towns.agg(F.max(F.size(F.split("name", " "))).alias("n")).first()["n"] or 1
+    words = F.split("key", " ")
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    runs = [runs_of(n) for n in range(1, longest + 1)]
+    hits = tried.select("key").distinct().select("key", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("name")).join(towns, "name")
     best = hits.groupBy("key").agg(F.min_by(F.struct("city", "lat", "lng"), F.struct(-F.length("name"), F.col("gaz_id"))).alias("town"))
     first = tried.join(best, "key").groupBy("ord").agg(F.min_by(F.struct("town", "source"), "nth").alias("hit"))
     placed = rows.join(first, "ord", "left")
