@@ -187,3 +187,23 @@ SELECT first_ord, n, n > 1 AS recurring, strftime(first_day, '%Y-%m-%d') AS firs
  coalesce((SELECT string_agg(t, '|' ORDER BY p) FROM (SELECT t, min(p) AS p FROM (SELECT unnest(tags) AS t, generate_subscripts(tags, 1) AS p) WHERE t IS NOT NULL GROUP BY t)), CASE WHEN tags IS NOT NULL THEN '' END) AS tags FROM w""")
 def occurrence_collapse(spark: SparkSession, d: str) -> DataFrame:
     return expiry.collapsed(_listings(spark, d))
+
+
+@query()
+def curation_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    from tallyfold.plans import curation
+
+    return curation.indexed(_listings(spark, d), table(spark, d, "volops_batches"), table(spark, d, "gazetteer"), table(spark, d, "orgs"), TODAY)
+
+
+_DUPS = f"WITH r AS ({_ROWS}), g AS (SELECT src, k, arg_min(ord, (-filled, ord)) AS keeper_ord FROM r GROUP BY src, k HAVING count(*) > 1 AND count(DISTINCT signal) <= 1), inside AS (SELECT r.ord FROM r JOIN g ON r.src = g.src AND r.k = g.k WHERE r.ord <> g.keeper_ord)"
+
+
+@query(_DUPS + f""", l AS (SELECT *, CASE src WHEN 'curated' THEN 0 WHEN 'volunteergarland' THEN 1 WHEN 'volunteermckinney' THEN 1 WHEN 'dallasdoinggood' THEN 1 WHEN 'idealist' THEN 2 WHEN 'voly_dallas' THEN 2 ELSE 3 END AS tier FROM r WHERE ord NOT IN (SELECT ord FROM inside)),
+h AS (SELECT k, arg_min(ord, (tier, -filled, ord)) AS keeper_ord FROM l GROUP BY k HAVING count(*) > 1 AND count(DISTINCT signal) <= 1 AND count(DISTINCT src) > 1), across AS (SELECT l.ord FROM l JOIN h ON l.k = h.k WHERE l.ord <> h.keeper_ord),
+e AS (SELECT ord FROM {LISTINGS} WHERE status IS DISTINCT FROM 'inactive' AND expiry.ends_on < '{TODAY}')
+SELECT ord, CASE WHEN ord IN (SELECT ord FROM inside) OR ord IN (SELECT ord FROM across) THEN 'duplicate' ELSE 'expired' END AS category FROM (SELECT ord FROM inside UNION SELECT ord FROM across UNION SELECT ord FROM e)""")
+def curation_rejects(spark: SparkSession, d: str) -> DataFrame:
+    from tallyfold.plans import curation
+
+    return curation.rejected(_listings(spark, d), TODAY)
