@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.operators import corpus, dedup, expiry, merge, places
+from tallyfold.storage import materialize
 
 
 def rejected(listings: DataFrame, today: str) -> DataFrame:
@@ -26,6 +27,6 @@ def curated(old: DataFrame, new: DataFrame, today: str) -> DataFrame:
 
 def indexed(old: DataFrame, new: DataFrame, gazetteer: DataFrame, bodies: DataFrame, today: str) -> DataFrame:
     """Index entries of the surviving rows, placed by the gazetteer."""
-    rows = curated(old, new, today)
+    rows = materialize(curated(old, new, today), "curated")  # read three times below
     placed = places.resolved(rows, gazetteer, bodies).select("ord", F.struct(F.col("city"), F.lit("TX").alias("state"), "lat", "lng", "precision", "resolved_from").alias("placed"))
-    return corpus.entries(rows.drop("geo").join(placed, "ord").withColumnRenamed("placed", "geo"))
+    return corpus.entries(materialize(rows.drop("geo").join(placed, "ord").withColumnRenamed("placed", "geo"), "placed"))
