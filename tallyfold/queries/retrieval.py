@@ -91,9 +91,12 @@ def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
 _LADDER = search.Filters(city="Nowhere Springs", causes=("legal",), date_start="2026-03-01", date_end="2026-03-02")
 
 
-@query(_hybrid_sql("type = 'listing' AND list_has_any(causes, ['legal'])"))
+_STRICT = _hybrid_sql("type = 'listing' AND list_has_any(causes, ['legal'])")
+
+
+@query(f"WITH a AS ({_STRICT}), z AS ({_hybrid_sql("type = 'listing'")}) SELECT * FROM a WHERE (SELECT count(*) FROM a) >= 3 UNION ALL SELECT * FROM z WHERE (SELECT count(*) FROM a) < 3")
 def hybrid_relaxed(spark: SparkSession, d: str) -> DataFrame:
-    """No listing lies in a town that does not exist: the third rung, causes alone, is the first with hits."""
+    """No listing lies in a town that does not exist: the rung with causes alone is the first with hits, if it has enough."""
     hits, _ = search.relaxed(table(spark, d, "opportunities"), _vector(spark, d), TEXT, _LADDER)
     return hits.withColumn("score", F.round("score", 12))
 
