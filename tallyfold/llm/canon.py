@@ -94,11 +94,10 @@ def place_name(value: str | None) -> str | None:
         return None
     value = GLUED.sub("", unicodedata.normalize("NFKD", value))
     text, _ = _stripped(folded(value))
-    name = words(text)
-    parts = name.split()
+    parts = re.findall(r"[^\W_]+", text)  # as typed: "n/a" is no abbreviated north
     if not parts or all(p in NO_PLACE or p.isdigit() for p in parts):
         return None
-    return name
+    return words(text)
 
 
 def town_name(value: str | None) -> str | None:

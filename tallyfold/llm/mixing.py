@@ -82,5 +82,5 @@ def shares(drawn: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
     got = drawn.groupBy("mix_id", "source").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     plan = budgets(sizes, targets).drop("n_docs")
     both = plan.join(got, ["mix_id", "source"], "left").fillna(0, ["n_docs", "tokens", "most_copies"])
-    actual = F.col("tokens") / F.sum("tokens").over(Window.partitionBy("mix_id"))
+    actual = F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy("mix_id")))
     return both.select("mix_id", "source", "target_share", "max_repeats", "available", "n_docs", "tokens", "most_copies", F.coalesce(actual, F.lit(0.0)).alias("actual_share"))
