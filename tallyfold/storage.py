@@ -45,7 +45,7 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores before costly work in Python, where the input has fewer splits than there are cores. Large
     inputs have more and are not shuffled; nor is what has been shuffled already (asking for its splits would run it)."""
-    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
