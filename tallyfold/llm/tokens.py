@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.storage import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the byte-level vocabularies cut a text before merging. A fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,4 +43,4 @@ def sized(df: DataFrame, key: str, text: str, path: str = TOKENIZER, keep: tuple
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), pa.array(q, pa.float64()), *[b.column(c) for c in names]], ["key", "n_tokens", "quality", *names])
 
     schema = ", ".join(["key long", "n_tokens long", "quality double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept]])
-    return picked.mapInArrow(count, schema)
+    return spread(picked).mapInArrow(count, schema)

@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.storage import spread
+
 WORD = re.compile(r"[^\W_]+")
 DF_BITS = 18  # cells of the document-frequency table: fixed, whatever the vocabulary
 SKETCH_BITS = 128
@@ -77,7 +79,7 @@ def word_sets(df: DataFrame, key: str, texts: list[str], required: str) -> DataF
                 blobs.append(blob)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], ["key", "set_id", "n_words", "words"])
 
-    return picked.mapInArrow(hashed, "key long, set_id long, n_words int, words binary")
+    return spread(picked).mapInArrow(hashed, "key long, set_id long, n_words int, words binary")
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
