@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.operators import models
 from tallyfold.queries.registry import LISTINGS, query
 from tallyfold.storage import table
 from tallyfold.streaming import runs
@@ -35,3 +36,10 @@ def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts by day and type of the days that the watermark has passed: all but the last."""
     rows = runs.opened(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("at"))
     return runs.drained(runs.windowed(rows, "at", ["event_type"], "1 day", "0 seconds"), "daily").select("event_type", "n")
+
+
+@query(f"""SELECT ord, CASE WHEN regexp_matches(coalesce(schedule.raw, ''), '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'one_time' WHEN regexp_matches(coalesce(schedule.raw, ''), '(?i)every|weekly|days\\b') THEN 'ongoing' ELSE 'unclear' END AS kind FROM {LISTINGS} WHERE expiry IS NULL""")
+def stream_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without an expiry stamp, asked of a model as they arrive."""
+    rows = runs.opened(spark, d, "volops_dallasdoinggood").where("expiry is null").select("ord", F.col("schedule.raw").alias("raw"))
+    return runs.stamped(rows, "ord", models.when, "kind string, ends_on string", "stamps").select("ord", "kind")

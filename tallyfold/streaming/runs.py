@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyfold.functions.dates import micros
+from tallyfold.operators.models import Model, called
 from tallyfold.operators.quota import Ledger
 from tallyfold.storage import new_folder
 
@@ -57,3 +58,21 @@ def admitted(stream: DataFrame, per_ip: int = 5, overall: int = 50) -> DataFrame
         yield pd.DataFrame(got, columns=["id", "allowed", "reason", "remaining"])
 
     return requests.groupBy("everyone").applyInPandasWithState(step, "id long, allowed boolean, reason string, remaining int", "ats array<long>, ips array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stamped(stream: DataFrame, key: str, model: Model, schema: str, label: str, batch: int = 10) -> DataFrame:
+    """(key, *schema): replies of a model for the rows of a stream that have none yet, written batch by batch.
+
+    Each micro-batch asks only for keys that the ledger lacks and appends what came back, so a run that breaks off
+    goes on where it stopped and pays for no row twice."""
+    spark, path = stream.sparkSession, new_folder(stream.sparkSession, label)
+    names = [x.split()[0] for x in schema.split(", ")]
+    empty = called(stream.sparkSession.createDataFrame([], stream.schema), key, model, schema, batch)
+    empty.write.parquet(f"{path}/ledger")
+
+    def step(rows: DataFrame, _: int) -> None:
+        done = spark.read.schema(empty.schema).parquet(f"{path}/ledger").select(key)
+        called(rows.dropDuplicates([key]).join(done, key, "left_anti"), key, model, schema, batch).write.mode("append").parquet(f"{path}/ledger")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(empty.schema).parquet(f"{path}/ledger").select(key, *names)

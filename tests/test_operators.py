@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions import dates, geo, tags, text, web
 from tallyfold.operators import dedup, expiry, facets, merge, models, normalise, places, quota, search, triage
 from tallyfold.plans import discovery, smart_search
-from tallyfold.sources import files
+from tallyfold.sources import files, pages
 from tallyfold.storage import new_folder
 
 LISTING = (
@@ -263,3 +263,31 @@ def test_discovery_plan(spark):
     empty = spark.createDataFrame([], "domain string")
     got = discovery.proposed(c, empty, empty, spark.createDataFrame([("known.org",)], "domain string"), spark.createDataFrame([], "name string"))
     assert [tuple(r) for r in got.collect()] == [(1, 0.7)]
+
+
+def test_pages_by_structure():
+    root = pages.tree("<nav>x</nav><h1 class='a title'>A &amp; <b>B</b></h1><div><i class='dot'></i>Plano</div><h2>What you need</h2><p>Gloves<br>Hat</p><script>1<2</script><h2>More</h2>")
+    assert pages.by_class(root, "h1", "title") == "A & B"
+    assert pages.beside_icon(root, "dot") == "Plano"
+    assert pages.below_heading(root, "need") == "Gloves Hat"
+    assert pages.by_class(root, "h1", "gone") is None and pages.below_heading(root, "gone") is None
+    assert pages.profile(pages.tree(None))["website"] is None
+    got = pages.profile(pages.tree('<p>Address</p><p>1 Main St</p><p>Cedar Hill, TX 75104</p><a href="https://facebook.com/a">f</a><a href="http://a.org">s</a><a href="mailto:x@a.org?cc=y">m</a> 12-1234567'))
+    assert got == {"website": "http://a.org", "email": "x@a.org", "ein": "12-1234567", "city": "Cedar Hill", "state": "TX", "zip": "75104", "notes": None}
+
+
+def test_streamed_quota_equals_batch(spark, sf_dir):
+    from tallyfold.queries import QUERIES
+
+    a, b = (sorted(map(tuple, QUERIES[n](spark, sf_dir).collect())) for n in ("quota_admission", "stream_quota"))
+    assert a == b
+
+
+def test_stamps_are_asked_for_once(spark):
+    from tallyfold.streaming import runs
+
+    path = new_folder(spark, "stamps")
+    spark.createDataFrame([(1, "Every Friday"), (1, "Every Friday"), (2, None)], "ord long, raw string").write.parquet(path)
+    stream = spark.readStream.schema("ord long, raw string").parquet(path)
+    got = runs.stamped(stream, "ord", models.when, "kind string", "ledger").collect()
+    assert sorted(map(tuple, got)) == [(1, "ongoing"), (2, "unclear")]
