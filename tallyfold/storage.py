@@ -16,9 +16,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once a context, in case they do not have it on their path."""
+    """Send this package to the workers, once a context, in case they do not have it on their path."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     home = os.path.dirname(os.path.abspath(__file__))
