@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.3
+THRESHOLD = 0.15  # two letters swapped leave a short name few of its trigrams
 MARGIN = 0.02
 NONE = -1
 
@@ -126,20 +126,30 @@ def town_name(value: str | None) -> str | None:
 
 
 def slips(a: str, b: str) -> int:
-    """Damerau-Levenshtein distance (neighbours swapped count one)."""
+    """Damerau-Levenshtein distance: neighbours swapped count one, also where letters between them were lost."""
     if a == b:
         return 0
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            best = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            now.append(best)
-        before, row = row, now
-    return row[-1]
+    n, m = len(a), len(b)
+    far = n + m
+    seen: dict[str, int] = {}  # the last row of each letter of a
+    d = [[far] * (m + 2) for _ in range(n + 2)]
+    for i in range(n + 1):
+        d[i + 1][1] = i
+    for j in range(m + 1):
+        d[1][j + 1] = j
+    for i in range(1, n + 1):
+        match = 0  # the last column of this row with equal letters
+        x, above, here = a[i - 1], d[i], d[i + 1]
+        for j in range(1, m + 1):
+            y = b[j - 1]
+            k, last = seen.get(y, 0), match
+            if x == y:
+                best, match = above[j], j
+            else:
+                best = 1 + min(above[j], here[j], above[j + 1])
+            here[j + 1] = min(best, d[k][last] + (i - k - 1) + 1 + (j - last - 1))
+        seen[x] = i
+    return d[n + 1][m + 1]
 
 
 def agreement(name: str, entry: str) -> int | None:
