@@ -162,3 +162,26 @@ def name_union(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "volops_dallasdoinggood").select(F.col("org_name").alias("name")).unionByName(table(spark, d, "orgs").select("name"))
     return names.select(F.lower(stripped(F.col("name"))).alias("name")).where("name <> ''").distinct()
 
+
+
+@query(f"""SELECT org, n FROM (SELECT coalesce(nullif(org_name, ''), 'Unknown') AS org, count(*) AS n, bool_or(contains(lower(opportunity_title), 'garden')) AS titled, bool_or(list_has_any(coalesce(unified_tags, []), ['arts', 'health'])) AS tagged FROM {LISTINGS} GROUP BY 1) WHERE (titled OR contains(lower(org), 'garden')) AND tagged""")
+def org_search(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies found by their name or any of their titles, of which any listing carries a chosen cause."""
+    org = F.coalesce(blank_as_null(F.col("org_name")), F.lit("Unknown"))
+    tagged = F.arrays_overlap(F.coalesce("unified_tags", F.array().cast("array<string>")), F.array(F.lit("arts"), F.lit("health")))
+    found = table(spark, d, "volops_dallasdoinggood").groupBy(org.alias("org")).agg(F.count("*").alias("n"), F.bool_or(F.lower("opportunity_title").contains("garden")).alias("titled"), F.bool_or(tagged).alias("tagged"))
+    return found.where((F.coalesce("titled", F.lit(False)) | F.lower("org").contains("garden")) & F.col("tagged")).select("org", "n")
+
+
+@query(f"""SELECT rank, '{{"@type":"ListItem","position":' || rank || ',"name":' || to_json(name) || '}}' AS item FROM (SELECT opportunity_title AS name, row_number() OVER (ORDER BY coalesce(last_scraped, '') DESC, ord)::int AS rank FROM {_LIVE}) WHERE rank <= 50""")
+def item_list(spark: SparkSession, d: str) -> DataFrame:
+    """The newest fifty live listings as linked-data items."""
+    rows = _live(spark, d).select("ord", F.coalesce("last_scraped", F.lit("")).alias("seen"), F.col("opportunity_title").alias("name"))
+    top = expiry.latest_first(50, F.col("seen").desc(), F.col("ord"))(rows)
+    return top.select("rank", F.to_json(F.struct(F.lit("ListItem").alias("@type"), F.col("rank").alias("position"), "name")).alias("item"))
+
+
+@query("SELECT name, row_number() OVER (ORDER BY name, id)::int AS rank FROM orgs ORDER BY name, id LIMIT 100")
+def snapshot_order(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot's output order, binary, the first hundred."""
+    return expiry.latest_first(100, F.col("name"), F.col("id"))(table(spark, d, "orgs").select("name", "id")).select("name", "rank")

@@ -57,3 +57,10 @@ def fallback_chain(spark: SparkSession, d: str) -> DataFrame:
 def local_day(spark: SparkSession, d: str) -> DataFrame:
     """The day at a fixed distance from UTC."""
     return table(spark, d, "events").select("event_id", (F.col("ts").cast("timestamp_ntz") - F.expr("INTERVAL 6 HOURS")).cast("date").alias("day"))
+
+
+@query("""WITH l AS (SELECT event_id // 25 AS page, user_id FROM events), f AS (SELECT user_id, min(page) AS page FROM l GROUP BY user_id), n AS (SELECT DISTINCT page FROM l WHERE page NOT IN (SELECT page FROM f))
+SELECT user_id, page FROM f WHERE page < coalesce((SELECT min(page) FROM n), 1000000000)""")
+def crawl_until_nothing_new(spark: SparkSession, d: str) -> DataFrame:
+    listed = table(spark, d, "events").select(F.expr("event_id div 25").alias("page"), "user_id")
+    return pages.until_nothing_new(listed, "page", "user_id")

@@ -150,3 +150,14 @@ def first_with_content(rows: DataFrame, key: str, urls: Column, content: Callabl
     """(key, url, content): of each row's addresses, in order, the first with content that is not empty."""
     tried = rows.select(key, F.posexplode(urls).alias("nth", "url")).where("url is not null").withColumn("content", content(F.col("url")))
     return tried.where("content <> ''").groupBy(key).agg(F.min_by("url", "nth").alias("url"), F.min_by("content", "nth").alias("content"))
+
+
+def until_nothing_new(listed: DataFrame, page: str, key: str) -> DataFrame:
+    """(key, page): what a crawl keeps that reads pages in order and stops at the first that names nothing new.
+
+    A key is new on the first page that names it, so the stop is known from a count by page; no page is fetched one after
+    the other, and nothing but these counts is ordered."""
+    first = listed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(page).alias(page))
+    fresh = listed.select(page).distinct().join(first.groupBy(page).agg(F.count("*").alias("fresh")), page, "left")
+    stop = fresh.where("fresh is null").agg(F.min(page).alias("stop")).first()["stop"]
+    return first.select(key, page) if stop is None else first.where(F.col(page) < stop).select(key, page)
