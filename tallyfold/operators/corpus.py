@@ -10,8 +10,6 @@ from tallyfold.operators.expiry import event_date
 from tallyfold.operators.facets import index_bodies, live
 from tallyfold.operators.places import town
 
-EMPTY = F.array
-
 
 def _tags() -> Column:
     none = F.array().cast("array<string>")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.text import blank_as_null, clipped, one_spaced
 
+#: What frames a description and a location on listing pages, what shows that a block is none, and what shows an
+#: address. Fixed patterns.
 DESCRIPTION_MARKER = r"(?is)^.*?Opportunity Description"
 DESCRIPTION_TAIL = r"(?is)\s*(?:Details\s+|Calendar\s+)?Get Connected Icon.*$|\s*Respond(?: as Team| Share)\b.*$"
 LOCATION_LEAD = r"(?i)^(?:\s*(?:Location|Dot|Shift)\b)+"
