@@ -114,3 +114,17 @@ def close_pairs(sketch: np.ndarray, size: np.ndarray, limit) -> tuple[np.ndarray
             found_j.append(order[r[keep]])
     i, j = np.concatenate(found_i), np.concatenate(found_j)
     return np.minimum(i, j), np.maximum(i, j)
+
+
+def close_across(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, limit) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of records of two blocks whose distance is at most ``limit(a_size_i + b_size_j)``."""
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in range(0, len(b), BLOCK):
+        part, size = b[s : s + BLOCK], b_size[s : s + BLOCK]
+        i, j = within(a, planes_of(part), int(limit(int(a_size.max()) + int(size.max()))))
+        keep = j < len(part)
+        i, j = i[keep], j[keep]
+        keep = distances(a[i], part[j]) <= limit(a_size[i] + size[j])
+        found_i.append(i[keep])
+        found_j.append(j[keep] + s)
+    return np.concatenate(found_i), np.concatenate(found_j)

@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import bitslice, wordsets
+from tallyfold.storage import materialize
 
 #: key: the key's hash within its destination; id: the set; n: its words; s: its sketch; side: 1 if it is new
 POSTING = np.dtype([("key", "<u4"), ("id", "<i8"), ("n", "<u4"), ("s", "<u8", (2,)), ("side", "u1")])
 TARGET_BYTES = 24 << 20  # of postings that one reducer takes
+SPLIT = 16384  # records of a block from which its comparison is dealt out as tiles
+TILE = 8192
 
 
 def partitions_for(n_sets: int, floor: int) -> int:
@@ -71,7 +74,7 @@ def postings(sets: DataFrame, cells: np.ndarray, rare: int, threshold: float, le
         if held:
             yield flush()
 
-    return sets.select("set_id", "n_words", "words").mapInArrow(emit, "dest int, blob binary")
+    return sets.where("words is not null").select("set_id", "n_words", "words").mapInArrow(emit, "dest int, blob binary")
 
 
 def _blocks(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +84,12 @@ def _blocks(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(rec)))
 
 
-def candidates(gathered: DataFrame, threshold: float, new_only: bool = False) -> DataFrame:
+def candidates(gathered: DataFrame, threshold: float, new_only: bool = False, split: int = SPLIT) -> DataFrame:
     """(a, b): pairs of different sets, a < b, that meet in a block and whose sketches are near enough; a pair may
     come more than once. ``gathered``: postings, all of a destination in one task.
 
-    new_only: only pairs with a set of side 1."""
+    A hot block, of more than ``split`` records, is not compared where it was gathered: every pair of its tiles goes
+    to a task of its own. new_only: only pairs with a set of side 1. The first step's result is a written table."""
 
     def limit(total):
         return wordsets.largest_difference(total, threshold)
@@ -126,9 +130,9 @@ def candidates(gathered: DataFrame, threshold: float, new_only: bool = False) ->
 
         def flush() -> pa.RecordBatch:
             both = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            return _given(both[:, 0], both[:, 1], None)
 
-        for n in range(2, bitslice.SMALL):
+        for n in range(2, min(bitslice.SMALL, split + 1)):
             at = start[length == n]
             i, j = np.triu_indices(n, 1)
             step = max(1, 400_000 // len(i))
@@ -136,10 +140,17 @@ def candidates(gathered: DataFrame, threshold: float, new_only: bool = False) ->
                 p, q = (at[s : s + step, None] + i[None]).ravel(), (at[s : s + step, None] + j[None]).ravel()
                 near = bitslice.distances(sk[p], sk[q]) <= limit(sizes[p] + sizes[q])
                 keep(p[near], q[near])
-        for at, n in zip(start[length >= bitslice.SMALL], length[length >= bitslice.SMALL]):
+        large = length >= min(bitslice.SMALL, split + 1)
+        for at, n in zip(start[large], length[large]):
             block = slice(at, at + n)
             if new_only and not side[block].any():
                 continue
+            if n > split:
+                order = at + np.argsort(sizes[block], kind="stable")
+                tiles = [rec[order[s : s + min(TILE, split)]][list(POSTING.names)].astype(POSTING).tobytes() for s in range(0, n, min(TILE, split))]
+                for x in range(len(tiles)):
+                    yield _given([None] * (len(tiles) - x), [None] * (len(tiles) - x), [tiles[x] + (tiles[y] if y > x else b"") + np.int64(len(tiles[x])).tobytes() for y in range(x, len(tiles))])
+                continue
             i, j = bitslice.close_pairs(sk[block], sizes[block], limit)
             keep(i + at, j + at)
             if held > 1_000_000:
@@ -148,14 +159,39 @@ def candidates(gathered: DataFrame, threshold: float, new_only: bool = False) ->
         if found:
             yield flush()
 
-    return gathered.mapInArrow(compare, "a long, b long")
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("tile").to_pylist():
+                cut = int(np.frombuffer(blob[-8:], np.int64)[0])
+                x, y = np.frombuffer(blob[:cut], POSTING), np.frombuffer(blob[cut:-8], POSTING)
+                if len(y):
+                    i, j = bitslice.close_across(np.ascontiguousarray(x["s"]), x["n"].astype(np.int64), np.ascontiguousarray(y["s"]), y["n"].astype(np.int64), limit)
+                else:
+                    y = x
+                    i, j = bitslice.close_pairs(np.ascontiguousarray(x["s"]), x["n"].astype(np.int64), limit)
+                ok = x["id"][i] != y["id"][j]
+                if new_only:
+                    ok &= (x["side"][i] | y["side"][j]) == 1
+                a, c = x["id"][i][ok], y["id"][j][ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+
+    first = materialize(gathered.mapInArrow(compare, "a long, b long, tile binary"), "blocks")
+    hot = first.where("tile is not null").select("tile")
+    pairs = first.where("a is not null").select("a", "b")
+    if hot.isEmpty():
+        return pairs
+    return pairs.unionByName(hot.repartition(4 * gathered.sparkSession.sparkContext.defaultParallelism).mapInArrow(tile, "a long, b long"))
+
+
+def _given(a: list | np.ndarray, b: list | np.ndarray, tiles: list[bytes] | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tiles if tiles else [None] * len(a), pa.binary())], ["a", "b", "tile"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, shared, total): the pairs whose word sets are alike in fact: shared >= threshold * total."""
     pairs = pairs.distinct()
     involved = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    words = sets.select("set_id", "words").join(involved, "set_id", "left_semi").dropDuplicates(["set_id"])
+    words = sets.where("words is not null").select("set_id", "words").join(involved, "set_id", "left_semi").dropDuplicates(["set_id"])
     both = pairs.join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

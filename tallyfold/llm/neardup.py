@@ -23,14 +23,14 @@ from tallyfold.llm.components import components
 from tallyfold.storage import materialize
 
 
-def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+def set_pairs(sets: DataFrame, threshold: float, split: int = blocks.SPLIT) -> DataFrame:
     """(a, b, shared, total): all pairs of different word sets that are alike. ``sets``: a written table."""
     spark = sets.sparkSession
     n = sets.count()
     reducers = blocks.partitions_for(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cells = wordsets.frequencies(sets)
     sent = blocks.postings(sets, cells, wordsets.rare_limit(n), threshold, 2, 8 * reducers)
-    near = materialize(blocks.candidates(sent.repartition(reducers, "dest"), threshold), "near")  # used three times
+    near = materialize(blocks.candidates(sent.repartition(reducers, "dest"), threshold, split=split).distinct(), "near")  # used three times
     return blocks.verified(near, sets, threshold)
 
 

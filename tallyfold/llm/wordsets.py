@@ -54,7 +54,8 @@ def words_of(parts: list[str | None]) -> set[str]:
 
 
 def word_sets(df: DataFrame, key: str, texts: list[str], required: str) -> DataFrame:
-    """(key, set_id, n_words, words): the word sets of the rows whose ``required`` text is not blank.
+    """(key, set_id, n_words, words): the word sets of the rows whose ``required`` text is not blank. A task gives the
+    words of a set once and null for its further copies, so a hot group of copies is shuffled as rows of numbers.
 
     Rows with a null key or a null or blank required text, or with no word at all, take no part. Blank means
     nothing but white space, as Unicode counts it. Extra columns are ignored, whatever their names."""
@@ -63,6 +64,7 @@ def word_sets(df: DataFrame, key: str, texts: list[str], required: str) -> DataF
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
+        seen: set[int] = set()
         for b in batches:
             keys, ids, sizes, blobs = [], [], [], []
             for key_, need, *parts in zip(b.column("key").to_pylist(), b.column("need").to_pylist(), *[b.column(f"t{i}").to_pylist() for i in range(n)]):
@@ -73,10 +75,14 @@ def word_sets(df: DataFrame, key: str, texts: list[str], required: str) -> DataF
                     continue
                 a = np.unique(np.fromiter(map(cache.__getitem__, words), np.uint32, len(words)))
                 blob = a.tobytes()
+                name = xxhash.xxh3_64_intdigest(blob) - (1 << 63)
                 keys.append(key_)
-                ids.append(xxhash.xxh3_64_intdigest(blob) - (1 << 63))
+                ids.append(name)
                 sizes.append(len(a))
-                blobs.append(blob)
+                blobs.append(None if name in seen else blob)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(name)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], ["key", "set_id", "n_words", "words"])
 
     return spread(picked).mapInArrow(hashed, "key long, set_id long, n_words int, words binary")
@@ -84,7 +90,7 @@ def word_sets(df: DataFrame, key: str, texts: list[str], required: str) -> DataF
 
 def frequencies(sets: DataFrame) -> np.ndarray:
     """How many sets have a word of each of 2**DF_BITS cells: counted in the tasks, summed by Spark; the driver
-    gets the finished table, whose size does not depend on the data."""
+    gets the finished table, whose size does not depend on the data. Copies in one task count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << DF_BITS, np.int64)
@@ -97,7 +103,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
 
     out = np.zeros(1 << DF_BITS, np.int64)
-    got = sets.select("words").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = sets.where("words is not null").select("words").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return out
 

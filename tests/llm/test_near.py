@@ -10,6 +10,7 @@ import pytest
 from tallyfold.llm import bitslice, neardup, wordsets
 from tallyfold.llm.components import components
 from tallyfold.llm.history import FingerprintStore, bloom, in_bloom
+from tallyfold.storage import materialize
 
 SCHEMA = "ord long, id string, title string, body string, extra string"
 TEXTS = ["title", "body"]
@@ -75,6 +76,18 @@ def test_pairs_against_brute_force(spark, seed):
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == truth(rows)
 
 
+@pytest.mark.parametrize("split", [1, 7, 40])
+def test_hot_blocks_are_dealt_out_as_tiles(spark, split):
+    """Near-copies that all share their common words: every block is hot for so small a split."""
+    r = random.Random(split)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, None, "t", " ".join(r.sample(base, 38) + [f"own{i}"]), None) for i in range(120)]
+    sets = materialize(wordsets.word_sets(spark.createDataFrame(rows, SCHEMA), "ord", TEXTS, "body"), "sets")
+    key = {x["set_id"]: x["key"] for x in sets.collect()}
+    got = {tuple(sorted((key[p["a"]], key[p["b"]]))) for p in neardup.set_pairs(sets, 0.7, split).collect()}
+    assert got == truth(rows) and len(got) > 1000
+
+
 def test_hot_copies_cost_one_set(spark):
     rows = [(i, None, "t", "one two three four five six seven", None) for i in range(40)] + [(99, None, "t", "one two three four five six eight", None)]
     df = spark.createDataFrame(rows, SCHEMA)
