@@ -3,9 +3,9 @@
 1. Distinct spellings become forms: case, accents, punctuation, legal and decorative additions, an acronym of the
    whole name beside it, and stop words go; usual abbreviations are written out.
 2. Tokens are joined with similar tokens by their q-grams: the grams of a token are what is left when one or
-   two letters are skipped, so that two tokens within so many slips share one (a prefix filter without loss), and only
-   tokens seen in few forms look for a partner. A rare token is read as the nearest token that is seen in more, a
-   token that is two known ones run together as these two.
+   two letters are skipped, so that two tokens within so many slips share one (a prefix filter without loss). A rare
+   token is read as the nearest token that is seen in more, any other one as the nearest that is seen in clearly more
+   (``is_slip``), as typos repeat where there is more data; a token that is two known ones run together as these two.
 3. Forms meet under their rare tokens, read that way and in any order; common words (weight near zero) are no key.
 4. In a block forms are compared softly: every token must have a counterpart, by equality, slips, abbreviation,
    initial, nickname or, for common words, an acronym of all of them; the counterparts' similarity is weighted
@@ -66,7 +66,8 @@ GIVEN_NAMES = frozenset().union(*_CLASSES)
 ADDITION = re.compile(
     r"\(\s*501\s*\(?c\)?\s*\(?3\)?\s*\)|\(\s*(?:tx|texas)\s*\)|[\s|,;–—-]+(?:volunteers?\s+needed|sign[\s-]?up(?:\s+hub)?|main\s+office|head\s*quarters|a\s+non[\s-]?profit(?:\s+organi[sz]ation)?|non[\s-]?profit)\s*$|\s+at\s+the\s+annex\s*$|[\s,]+(?:inc|incorporated|llc|l\.l\.c|ltd|corp|corporation|co)\.?\s*$|\b501\s?\(?c\)?\s?\(?3\)?"
 )
-FEW = 2  # tokens in at most so many forms may be slips of another
+FEW = 2  # tokens in at most so many forms may be slips of any that is in more
+CLEARLY = 5  # a token in more forms may be a slip of one in so many times as many
 LEAST_SCORE = 0.75
 
 
@@ -120,6 +121,18 @@ def _slip_of(token: str, other: str) -> int | None:
     return None if d == 2 and token[0] != other[0] and (other in GIVEN_NAMES or other in COMMON) else d
 
 
+def is_slip(token: str, forms: int, other: str, other_forms: int) -> int | None:
+    """The slips that make of ``other`` a token seen in so many forms, None if it is a word of its own. Beyond a few forms
+    known words are, and the other one must be clearly more frequent: the square of CLEARLY for two slips or a common
+    word (of which one misspelling has a percent or two), and no given name is two slips away."""
+    d = _slip_of(token, other)
+    if d is None or forms <= FEW:
+        return d
+    if token in COMMON or token in GIVEN_NAMES or (d == 2 and other in GIVEN_NAMES):
+        return None
+    return d if other_forms >= forms * CLEARLY ** (2 if other in COMMON else d) else None
+
+
 def same_given(a: str, b: str) -> bool:
     if a == b or any(a in c and b in c for c in _CLASSES):
         return True
@@ -290,23 +303,23 @@ def _readings(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(gram, pa.string()), pa.array(forms, pa.int64()), pa.array(rows, pa.int64())], ["token", "gram", "forms", "rows"])
 
     made = words.mapInArrow(grams, "token string, gram string, forms long, rows long")
-    asks = made.where(F.col("forms") <= FEW)
     offers = made.select("gram", F.col("token").alias("other"), F.col("forms").alias("other_forms"), F.col("rows").alias("other_rows"))
     more = (F.col("other_forms") > F.col("forms")) | ((F.col("other_forms") == F.col("forms")) & (F.struct("other_rows", "other") > F.struct("rows", "token")))
-    pairs = asks.join(offers, "gram").where((F.col("other") != F.col("token")) & more).select("token", "other", "other_forms", "other_rows").distinct()
+    more = F.when(F.col("forms") <= FEW, more).otherwise(F.col("other_forms") >= CLEARLY * F.col("forms"))
+    pairs = made.join(offers, "gram").where((F.col("other") != F.col("token")) & more).select("token", "forms", "other", "other_forms", "other_rows").distinct()
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = [_slip_of(t, o) for t, o in zip(b.column("token").to_pylist(), b.column("other").to_pylist())]
+            d = [is_slip(*x) for x in zip(*[b.column(c).to_pylist() for c in ("token", "forms", "other", "other_forms")])]
             out = pa.RecordBatch.from_arrays([*[b.column(c) for c in ("token", "other", "other_forms", "other_rows")], pa.array(d, pa.int32())], ["token", "other", "other_forms", "other_rows", "d"])
             yield out.filter(pa.array([x is not None for x in d], pa.bool_()))
 
     best = pairs.mapInArrow(close, "token string, other string, other_forms long, other_rows long, d int").groupBy("token").agg(F.max_by("other", F.struct(-F.col("d"), "other_forms", "other_rows", "other")).alias("read"))
     # two tokens typed as one
     cut = F.explode(F.sequence(F.lit(4), F.length("token") - 4)).alias("cut")
-    glued = tokens.where((F.length("token") >= 10) & (F.col("forms") <= FEW) & F.col("token").rlike("^[a-z]+$")).select("token", cut).select("token", F.expr("substring(token, 1, cut)").alias("left"), F.expr("substring(token, cut + 1)").alias("right"))
-    parts = tokens.select("token", "forms")
-    halves = glued.join(parts.toDF("left", "nl"), "left").join(parts.toDF("right", "nr"), "right")
+    glued = tokens.where((F.length("token") >= 10) & F.col("token").rlike("^[a-z]+$") & ((F.col("forms") <= FEW) | ~F.col("token").isin(*COMMON, *GIVEN_NAMES))).select("token", "forms", cut).select("token", "forms", F.expr("substring(token, 1, cut)").alias("left"), F.expr("substring(token, cut + 1)").alias("right"))
+    parts = tokens.select("token", F.col("forms").alias("n"))
+    halves = glued.join(parts.toDF("left", "nl"), "left").join(parts.toDF("right", "nr"), "right").where((F.col("forms") <= FEW) | (F.least("nl", "nr") >= CLEARLY * F.col("forms")))
     halves = halves.groupBy("token").agg(F.max_by(F.concat_ws(" ", "left", "right"), F.struct(F.least("nl", "nr"), "left")).alias("two"))
     best = best.join(halves, "token", "full").select("token", F.coalesce("two", "read").alias("read"))
     best = materialize(best, "readings")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,14 @@ def test_no_spellings(spark):
     df = spark.createDataFrame([(None,), ("",)], "org_name string")
     assert names.variants(df, "org_name").count() == 0
     assert names.variants(df.limit(0), "org_name").count() == 0
+
+
+def test_misspelt_words_of_many_forms(spark):
+    """A misspelling that more data repeats is still read as the word it stands for."""
+    rng = random.Random(1)
+    names_ = [f"{''.join(rng.choices('abcdefghijklmnopqrstuvwxyz', k=10))} Food Pantry" for _ in range(80)]
+    typed = [n.title().replace("Pantry", "Pantyr") for n in names_[::27]]
+    rows = [(n.title(),) for n in names_] + [(n,) for n in typed]
+    assert len(typed) == 3
+    got = set(map(tuple, names.variants(spark.createDataFrame(rows, "org_name string"), "org_name").collect()))
+    assert got == {(n.replace("Pantyr", "Pantry"), n) for n in typed}
