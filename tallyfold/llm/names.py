@@ -6,7 +6,8 @@
    two letters are skipped, so that two tokens within so many slips share one (a prefix filter without loss). A rare
    token is read as the nearest token that is seen in more, any other one as the nearest that is seen in clearly more
    (``is_slip``), as typos repeat where there is more data; a token that is two known ones run together as these two.
-3. Forms meet under their rare tokens, read that way and in any order; common words (weight near zero) are no key.
+3. Forms meet under their rare tokens, read that way and in any order; the words of COMMON (weight near zero) are no key,
+   whatever the size of the input. Forms of nothing else meet under the initials of these words.
 4. In a block forms are compared softly: every token must have a counterpart, by equality, slips, abbreviation,
    initial, nickname or, for common words, an acronym of all of them; the counterparts' similarity is weighted
    by inverse form frequency, so rare tokens count more. Another purpose, given name or number leaves tokens
@@ -152,12 +153,12 @@ def is_abbreviation(short: str, word: str) -> bool:
 class Form:
     """A name's tokens by role: numbers, given name, common words (purpose) and the rare rest."""
 
-    def __init__(self, typed: list[str], read: list[str], common: frozenset[str]):
+    def __init__(self, typed: list[str], read: list[str]):
         self.numbers = sorted(t for t in typed if t.isdigit())
         self.given, self.purpose, self.proper, self.key = None, [], [], []
         rest = [(t, r) for t, r in zip(typed, read) if not t.isdigit()]
         for i, (t, r) in enumerate(rest):
-            if r in COMMON or r in common:
+            if r in COMMON:
                 self.purpose.append(r)
             elif self.given is None and len(rest) > 2 and (len(t) == 1 or r in GIVEN_NAMES or t in GIVEN_NAMES):
                 self.given = t if t in GIVEN_NAMES else r
@@ -169,10 +170,12 @@ class Form:
 
     @property
     def block(self) -> str:
-        return " ".join(sorted(self.key)) if self.key else "\x00" + " ".join(sorted(self.purpose))
+        """Of a name without a rare token the initials of its purpose, which its abbreviations share."""
+        return " ".join(sorted(self.key)) if self.key else "\x00" + " ".join(sorted(p[0] for p in self.purpose))
 
 
-def purposes_agree(a: list[str], b: list[str]) -> bool:
+def purposes_agree(a: list[str], b: list[str], named: bool) -> bool:
+    """named: a proper name stands beside them; else two different common words are never the same."""
     if sorted(a) == sorted(b):
         return True
     for x, y in ((a, b), (b, a)):
@@ -182,7 +185,7 @@ def purposes_agree(a: list[str], b: list[str]) -> bool:
         return False
     left = list(b)
     for t in a:
-        hit = next((u for u in left if u == t), None) or next((u for u in left if near(t, u) is not None or is_abbreviation(t, u) or is_abbreviation(u, t)), None)
+        hit = next((u for u in left if u == t), None) or next((u for u in left if (named or t not in COMMON or u not in COMMON) and (near(t, u) is not None or is_abbreviation(t, u) or is_abbreviation(u, t))), None)
         if hit is None:
             return False
         left.remove(hit)
@@ -210,7 +213,7 @@ def agree(a: Form, b: Form, weight: dict[str, float]) -> bool:
         return False
     if a.given is not None and not same_given(a.given, b.given):
         return False
-    return purposes_agree(a.purpose, b.purpose) and score(a, b, weight) >= LEAST_SCORE
+    return purposes_agree(a.purpose, b.purpose, bool(a.proper)) and score(a, b, weight) >= LEAST_SCORE
 
 
 def grouped(forms: list[tuple[Form, int]], weight: dict[str, float]) -> list[int]:
@@ -258,8 +261,6 @@ def entities(df: DataFrame, column: str) -> DataFrame:
     tokens = materialize(forms.select("rows", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("forms"), F.sum("rows").alias("rows")), "tokens")
     n_forms = max(1, forms.count())
     reading = _readings(tokens)
-    # what hardly tells forms apart is common, whatever the word: at most a hundred tokens reach one percent each
-    often = frozenset(r["token"] for r in tokens.where((F.col("forms") >= 0.01 * n_forms) & F.lit(n_forms >= 5000)).select("token").collect()) - GIVEN_NAMES
     known = tokens.select("token", "forms").join(reading, "token", "left")
     placed = forms.select("tokens", "rows", F.posexplode("tokens").alias("pos", "token")).join(known, "token")
     read = placed.groupBy("tokens").agg(F.first("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("read", "token").alias("read"), "forms"))).alias("r"))
@@ -267,7 +268,7 @@ def entities(df: DataFrame, column: str) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [Form(*_parted(t, r), often).block for t, r in zip(b.column("tokens").to_pylist(), b.column("read").to_pylist())]
+            keys = [Form(*_parted(t, r)).block for t, r in zip(b.column("tokens").to_pylist(), b.column("read").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[b.column(c) for c in ("tokens", "rows", "read", "forms")]], ["block", "tokens", "rows", "read", "forms"])
 
     blocks = read.mapInArrow(keyed, "block string, tokens array<string>, rows long, read array<string>, forms array<long>")
@@ -280,7 +281,7 @@ def entities(df: DataFrame, column: str) -> DataFrame:
         for block, rows in held.items():
             rows.sort(key=lambda x: x[0])
             weight = {t: math.log(1 + n_forms / n) for r in rows for t, n in zip(r[0], r[3])}
-            at = grouped([(Form(*_parted(t, r), often), n) for t, n, r, _ in rows], weight)
+            at = grouped([(Form(*_parted(t, r)), n) for t, n, r, _ in rows], weight)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([f"{block}\x01{' '.join(rows[i][0])}" for i in at], pa.string())], ["tokens", "entity"])
 
     found = blocks.repartition("block").mapInArrow(resolved, "tokens array<string>, entity string")

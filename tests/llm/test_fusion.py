@@ -118,3 +118,22 @@ def test_misspelt_words_of_many_forms(spark):
     assert len(typed) == 3
     got = set(map(tuple, names.variants(spark.createDataFrame(rows, "org_name string"), "org_name").collect()))
     assert got == {(n.replace("Pantyr", "Pantry"), n) for n in typed}
+
+
+def test_a_hot_body_keeps_its_name_as_key(spark):
+    """Whatever the share of the forms that a body's name is in."""
+    rng = random.Random(2)
+    rest = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) + " Food Pantry" for _ in range(5000)]
+    purposes = sorted(names.COMMON)[:80]
+    rows = [*rest, *[f"Bosmilek Rokbonud {p} Volunteers" for p in purposes], "Bosmilek Rokbonud Community Volunteer Center", "Bosmilek Rokbonud CVC", "Bosmilek Rokbonud Cmnty Volunteer Center"]
+    got = names.entities(spark.createDataFrame([(n,) for n in rows], "org_name string"), "org_name").where("name like 'Bosmilek%C%'")
+    found = {r["name"]: r["entity"] for r in got.collect()}
+    assert len({found[n] for n in rows[-3:]}) == 1
+    assert sum(e == found[rows[-1]] for e in found.values()) == 3
+
+
+def test_names_of_common_words_only(spark):
+    same = ["Volunteer Community Center", "Volunteer Cmnty Center", "Center, Volunteer Community"]
+    rows = [(n,) for n in [*same, "Food Fund", "Food Foundation"]]
+    got = set(map(tuple, names.variants(spark.createDataFrame(rows, "org_name string"), "org_name").collect()))
+    assert got == {(a, b) for a in same for b in same if a < b}
