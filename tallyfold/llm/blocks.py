@@ -25,8 +25,8 @@ TILE = 8192
 
 
 def partitions_for(n_sets: int, floor: int) -> int:
-    """So many reducers that each gets about TARGET_BYTES at 20 postings a set."""
-    return max(floor, -(-n_sets * 20 * POSTING.itemsize // TARGET_BYTES))
+    """So many reducers that each gets about TARGET_BYTES at all bands and 20 rare words a set."""
+    return max(floor, -(-n_sets * (wordsets.BANDS + 20) * POSTING.itemsize // TARGET_BYTES))
 
 
 def postings(sets: DataFrame, cells: np.ndarray, rare: int, threshold: float, least: int, destinations: int, side: int = 0) -> DataFrame:

@@ -9,8 +9,9 @@ Blocking keys
     lies in the first ``n - ceil(t n) + 1`` words of either in order of rarity (prefix filter). Words found in at
     most ``rare`` sets therefore serve as keys as they are: no pair that shares one is lost. A pair that shares
     none has spent the rare words of both on its allowed difference, so that its common words are even more
-    alike than ``t``; those pairs meet in min-wise bands over the common words, more bands where a record has
-    few rare words (see ``bands_for``).
+    alike than ``t``; those pairs meet in min-wise bands over the common words, as many for every record: a pair meets
+    only in bands that both have. A record whose prefix is all rare needs no band: it shares one of these words
+    with whatever it is alike.
 
 Sketches
     The 128-bit sketch of a set is the parity of its words over 128 cells. The Hamming distance of two sketches
@@ -35,7 +36,7 @@ WORD = re.compile(r"[^\W_]+")
 DF_BITS = 18  # cells of the document-frequency table: fixed, whatever the vocabulary
 SKETCH_BITS = 128
 BAND_ROWS = 5
-MAX_BANDS = 40
+BANDS = 40
 
 
 class _Hashes(dict):
@@ -114,11 +115,6 @@ def rare_limit(n_sets: int) -> int:
     return int(min(5000, max(16, n_sets // 200)))
 
 
-def bands_for(n_rare: np.ndarray) -> np.ndarray:
-    """Bands of a record with so many rare words: each rare word that is not shared uses up allowed difference."""
-    return np.where(n_rare <= 2, MAX_BANDS, np.where(n_rare <= 4, 20, 10))
-
-
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     """A 32-bit finalizer (multiply and shift) with a seed."""
     x = x ^ np.uint32(seed)
@@ -155,19 +151,11 @@ def keys_of(blobs: list[bytes], sizes: np.ndarray, cells: np.ndarray, rare: int,
     keep = by[(place < prefix[row[by]]) & (df[by] >= least)]
     out_row, out_key = [row[keep]], [words[keep].astype(np.uint64) << np.uint64(8)]
     # min-wise bands over the common words
-    c = np.flatnonzero(~is_rare)
+    c = np.flatnonzero(~is_rare & (n_rare < prefix)[row])
     if len(c):
         rows_c, at = np.unique(row[c], return_index=True)
-        bands, w = bands_for(n_rare[rows_c]), words[c]
-        for band in range(MAX_BANDS):
-            live = bands > band
-            if not live.any():
-                break
-            if not live.all():  # the later bands are for few rows: go on with their words only
-                sel = np.repeat(live, np.diff(np.append(at, len(w))))
-                counts = np.diff(np.append(at, len(w)))[live]
-                w, rows_c, bands = w[sel], rows_c[live], bands[live]
-                at = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        w = words[c]
+        for band in range(BANDS):
             key = np.full(len(rows_c), band + 1, np.uint64)
             for k in range(BAND_ROWS):
                 low = np.minimum.reduceat(_mix(w, 0x1000193 * (band * BAND_ROWS + k + 1) & 0xFFFFFFFF), at)

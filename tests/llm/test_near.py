@@ -158,3 +158,28 @@ def test_empty_history_and_empty_batch(spark):
     store = FingerprintStore.create(df.limit(0), "ord", "id", TEXTS, "body")
     assert store.ingest(df.limit(0)).count() == 0
     assert [tuple(r) for r in store.ingest(df).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("common, rare", [(100, 5), (400, 5), (1000, 9)])
+def test_pairs_without_a_shared_rare_word_meet(common, rare):
+    """Pairs at the threshold; one set has rare words of its own, the other none: all bands count."""
+    rng = np.random.default_rng(common)
+    blobs, sizes = [], []
+    cells = np.full(1 << wordsets.DF_BITS, 1000, np.int64)
+    lone = np.arange(rare, dtype=np.uint32) << (32 - wordsets.DF_BITS)
+    cells[:rare] = 3
+    for _ in range(300):
+        union = common - rare
+        shared = int(np.ceil(0.7 * (union + rare)))
+        words = np.unique(rng.integers(1 << 20, 1 << 32, 2 * common, dtype=np.uint32))
+        words = rng.permutation(words)[:union]
+        cut = shared + (union - shared) // 2
+        a, b = np.concatenate([lone, words[:cut]]), np.concatenate([words[:shared], words[cut:]])
+        assert shared / (union + rare) >= 0.7
+        for x in (a, b):
+            blobs.append(np.sort(x).astype(np.uint32).tobytes())
+            sizes.append(len(x))
+    row, key, _ = wordsets.keys_of(blobs, np.array(sizes), cells, 16, 0.7, 2)
+    keys = [set(key[row == i].tolist()) for i in range(len(blobs))]
+    missed = sum(not keys[i] & keys[i + 1] for i in range(0, len(blobs), 2))
+    assert missed <= 2, missed
