@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import dates
 from tallyfold.functions.text import squeezed
+from tallyfold.storage import materialize
 
 
 def rule_kind() -> tuple[Column, Column]:
@@ -59,6 +60,22 @@ def collapsed(listings: DataFrame) -> DataFrame:
     )
 
 
+def in_order(*order: Column):
+    """All rows with their rank in a global order: a range sort, then each part's ranks start behind the parts before it.
+
+    The sorted rows are written once, as a second sort might cut the parts elsewhere; parts are as many as the shuffle's."""
+
+    def run(df: DataFrame) -> DataFrame:
+        placed = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "order")
+        part = F.shiftright("_at", 33)
+        before = F.sum("n").over(Window.orderBy("_part")) - F.col("n")
+        starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
+        ranked = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+        return ranked.withColumn("rank", F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).drop("_at", "_part", "_before")
+
+    return run
+
+
 def latest_first(limit: int, *order: Column):
     """A global top list: one sorted limit, then ranks over the few rows left."""
 

@@ -99,6 +99,13 @@ def org_ranking(spark: SparkSession, d: str) -> DataFrame:
     return expiry.latest_first(20, F.desc("n"), F.col("key"))(counts)
 
 
+@query(f"SELECT key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) AS rank FROM ({_R}) WHERE key IS NOT NULL GROUP BY key")
+def org_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every body, those with most listings first."""
+    counts = _live(spark, d).select(facets.body_key(F.col("org_name")).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    return expiry.in_order(F.desc("n"), F.col("key"))(counts)
+
+
 @query(f"""WITH k AS (SELECT key FROM ({_R}) WHERE key IS NOT NULL GROUP BY key ORDER BY count(*) DESC, key LIMIT 1) SELECT ord, key FROM ({_R}) WHERE key = (SELECT key FROM k)""")
 def listings_for_org(spark: SparkSession, d: str) -> DataFrame:
     rows = _live(spark, d).select("ord", facets.body_key(F.col("org_name")).alias("key")).where("key is not null")

@@ -140,6 +140,27 @@ def recent_sort(spark: SparkSession, d: str) -> DataFrame:
     return expiry.latest_first(50, F.col("seen").desc(), F.col("ord"))(rows).select("ord", "rank")
 
 
+@query(f"""SELECT ord, row_number() OVER (ORDER BY coalesce(expiry.ends_on, '9999'), ord) AS rank FROM {LISTINGS}""")
+def upcoming_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing, the next to end first."""
+    rows = _listings(spark, d).select("ord", F.coalesce(F.col("expiry.ends_on"), F.lit("9999")).alias("ends"))
+    return expiry.in_order(F.col("ends"), F.col("ord"))(rows).select("ord", "rank")
+
+
+@query(f"""SELECT ord, row_number() OVER (ORDER BY coalesce(last_scraped, '') DESC, ord) AS rank FROM {LISTINGS}""")
+def recent_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing, the latest first."""
+    rows = _listings(spark, d).select("ord", F.coalesce("last_scraped", F.lit("")).alias("seen"))
+    return expiry.in_order(F.col("seen").desc(), F.col("ord"))(rows).select("ord", "rank")
+
+
+@query(f"""SELECT ord, row_number() OVER (ORDER BY coalesce(opportunity_title, ''), ord) AS rank FROM {LISTINGS}""")
+def title_order(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot's output order: every listing by title, binary."""
+    rows = _listings(spark, d).select("ord", F.coalesce("opportunity_title", F.lit("")).alias("title"))
+    return expiry.in_order(F.col("title"), F.col("ord"))(rows).select("ord", "rank")
+
+
 @query(f"""SELECT ord, rank FROM (SELECT ord, row_number() OVER (ORDER BY coalesce(last_scraped, '') DESC, ord)::int AS rank FROM {LISTINGS}) WHERE rank BETWEEN 13 AND 24""")
 def page_two(spark: SparkSession, d: str) -> DataFrame:
     rows = _listings(spark, d).select("ord", F.coalesce("last_scraped", F.lit("")).alias("seen"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.geo import clean_town, miles
-from tallyfold.operators import places
+from tallyfold.operators import expiry, places
 from tallyfold.queries.registry import LISTINGS, query
 from tallyfold.storage import table
 
@@ -71,6 +71,14 @@ def haversine_nearest(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy("miles", "ord").limit(50)
 
 
+@query(f"""SELECT ord, miles, row_number() OVER (ORDER BY miles NULLS LAST, ord) AS rank FROM (SELECT ord, CASE WHEN geo.precision = 'city' THEN round({_MILES.format(lat='geo.lat', lng='geo.lng')}, 6) END AS miles FROM {LISTINGS})""")
+def nearest_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing, the nearest first; those without a town's coordinates come last."""
+    away = F.round(miles(F.col("geo.lat"), F.col("geo.lng"), 40.5, -38.5), 6)
+    rows = _listings(spark, d).select("ord", F.when(F.col("geo.precision") == "city", away).alias("miles"))
+    return expiry.in_order(F.asc_nulls_last("miles"), F.col("ord"))(rows).select("ord", "miles", "rank")
+
+
 @query(f"""SELECT city, {_MILES.format(lat='lat', lng='lng')} <= 60 AS near FROM gazetteer""")
 def within_radius(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gazetteer").select("city", (miles(F.col("lat"), F.col("lng"), 40.5, -38.5) <= 60).alias("near"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators import quota, search
+from tallyfold.operators import expiry, quota, search
 from tallyfold.queries.registry import LISTINGS, query
 from tallyfold.storage import table
 
@@ -65,6 +65,15 @@ def relevance_score(spark: SparkSession, d: str) -> DataFrame:
     return good.orderBy(F.desc("total"), F.desc_nulls_last("published_at"), "doc_id").limit(100).select("doc_id", "help", "place", "total")
 
 
+@query(f"""SELECT doc_id, help, place, help + place AS total, row_number() OVER (ORDER BY help + place DESC, published_at DESC NULLS LAST, doc_id) AS rank FROM (SELECT doc_id, published_at, len(list_filter({_LIST(HELP_WORDS)}, lambda w: contains(lower(text), w)))::int AS help, len(list_filter({_LIST(PLACE_WORDS)}, lambda w: contains(lower(text), w)))::int AS place FROM documents WHERE kind = 'post' AND text IS NOT NULL)
+WHERE help >= 1 AND help + place >= 2""")
+def relevance_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every post worth showing, the most relevant first."""
+    rows = table(spark, d, "documents").where("kind = 'post' and text is not null").select("doc_id", "published_at", search.hits_of(F.col("text"), HELP_WORDS).alias("help"), search.hits_of(F.col("text"), PLACE_WORDS).alias("place"))
+    good = rows.where("help >= 1 and help + place >= 2").withColumn("total", F.col("help") + F.col("place"))
+    return expiry.in_order(F.desc("total"), F.desc_nulls_last("published_at"), F.col("doc_id"))(good).select("doc_id", "help", "place", "total", "rank")
+
+
 @query(f"SELECT id, round({_COS}, 9) AS score FROM opportunities, ({_Q}) WHERE {_USABLE} ORDER BY {_COS} DESC, id LIMIT 8")
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest(table(spark, d, "opportunities"), _vector(spark, d)).withColumn("score", F.round("score", 9))

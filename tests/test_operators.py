@@ -291,3 +291,12 @@ def test_stamps_are_asked_for_once(spark):
     stream = spark.readStream.schema("ord long, raw string").parquet(path)
     got = runs.stamped(stream, "ord", models.when, "kind string", "ledger").collect()
     assert sorted(map(tuple, got)) == [(1, "ongoing"), (2, "unclear")]
+
+
+def test_the_whole_order_keeps_every_row(spark):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3000 % 1000).alias("v"), "id").repartition(7)
+    got = expiry.in_order(F.desc("v"), F.col("id"))(rows).collect()
+    want = sorted(((r["v"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
+    assert len(got) == 3000 and [(r["v"], r["id"]) for r in sorted(got, key=lambda r: r["rank"])] == want
+    assert sorted(r["rank"] for r in got) == list(range(1, 3001))
+    assert expiry.in_order(F.col("id"))(rows.limit(0)).count() == 0
