@@ -137,3 +137,12 @@ def test_names_of_common_words_only(spark):
     rows = [(n,) for n in [*same, "Food Fund", "Food Foundation"]]
     got = set(map(tuple, names.variants(spark.createDataFrame(rows, "org_name string"), "org_name").collect()))
     assert got == {(a, b) for a in same for b in same if a < b}
+
+
+def test_every_unlisted_source_has_a_vote(spark):
+    """Three unlisted sources that agree, against a later one of their kind."""
+    said = [("a", "Mon 9:00", 1), ("b", "Mon 9:00", 2), ("c", "Mon 9:00", 3), ("d", "Tue 9:00", 4)]
+    df = spark.createDataFrame([(10 * g + o, s, "Org", f"T{g}", "d", None, f"2026-01-0{o}", (raw,), None, None) for g in range(3) for s, raw, o in said], LISTING)
+    ranks = spark.createDataFrame([("curated", 0, None), ("feed", 1, None)], RANKS)
+    got = survivors.fuse(df, ranks).collect()
+    assert {(r["schedule"], r["claims"]) for r in got} == {("mon 9:00", 4)} and len(got) == 3
