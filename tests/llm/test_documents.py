@@ -170,3 +170,11 @@ def test_no_text_is_lost_with_a_model(spark, sf_dir):
         spans[r["key"]].append((r["start_at"], r["end_at"]))
     for k, t in text.items():
         assert "".join((t or "").split()) == "".join("".join(t[a:b].split()) for a, b in sorted(spans.get(k, [])))
+
+
+@pytest.mark.parametrize("opens, closes", ["“”", "()", '""', "„“", "«»"])
+def test_long_speech_stays_whole(opens, closes):
+    said = " ".join(f"Bring {i} coats to the annex today." for i in range(200))
+    pieces = ["We met on Monday.", f"She wrote {opens}{said}{closes} to all of us.", "They left early."]
+    assert len(said) > 5000 and parts(" ".join(pieces)) == pieces
+    assert len(sentences.shielded("(" * 200_000 + "„ " * 100_000)) == 0
