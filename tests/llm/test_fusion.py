@@ -124,7 +124,7 @@ def test_a_hot_body_keeps_its_name_as_key(spark):
     """Whatever the share of the forms that a body's name is in."""
     rng = random.Random(2)
     rest = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) + " Food Pantry" for _ in range(5000)]
-    purposes = sorted(names.COMMON)[:80]
+    purposes = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(80)]
     rows = [*rest, *[f"Bosmilek Rokbonud {p} Volunteers" for p in purposes], "Bosmilek Rokbonud Community Volunteer Center", "Bosmilek Rokbonud CVC", "Bosmilek Rokbonud Cmnty Volunteer Center"]
     got = names.entities(spark.createDataFrame([(n,) for n in rows], "org_name string"), "org_name").where("name like 'Bosmilek%C%'")
     found = {r["name"]: r["entity"] for r in got.collect()}
@@ -132,6 +132,52 @@ def test_a_hot_body_keeps_its_name_as_key(spark):
     assert sum(e == found[rows[-1]] for e in found.values()) == 3
 
 
+def linked(spark, rows):
+    return set(map(tuple, names.variants(spark.createDataFrame([(n,) for n in rows], "org_name string"), "org_name").collect()))
+
+
+def test_a_slip_in_many_forms(spark):
+    """A slip counts by its context, however many forms have it; names that differ by a letter elsewhere too stay apart."""
+    wexmor = [(f"Wexmoor {p}", f"Wexmor {p}") for p in ("Food Bank", "Food Pantry", "Animal Shelter", "Arts Council", "Literacy Center")]
+    apart = [f"Hansatol {p}" for p in ("Youth Choir", "Book Fair", "Tree Watch")] + [f"Hansatal {p}" for p in ("Boat Crew", "Chess Club", "Youth Choir")]
+    assert linked(spark, [n for pair in wexmor for n in pair] + apart) == set(wexmor)
+
+
+def test_meetings_against_all_pairs(spark, monkeypatch):
+    """Prefixes lose no pair that agrees; nor does dealing out crowded meetings."""
+    rng = random.Random(3)
+    syllables = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lnrst"]
+    word = lambda n: "".join(rng.choices(syllables, k=n)).title()
+    firsts = [word(3) for _ in range(12)]
+    rows = set()
+    for _ in range(60):
+        full = f"{rng.choice(firsts)} {word(3)} {rng.choice(['Food Bank', 'Food Pantry', 'Community Volunteer Center', 'Arts Council'])}"
+        rows.add(full)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(1, len(full) - 1)
+            rows.add(rng.choice([full[:at] + full[at + 1 :], full[:at] + rng.choice("aeiou") + full[at:], full.replace("Community Volunteer Center", "CVC"), full.upper()]))
+    rows = sorted(rows)
+    forms = {n: names.Form(i, names.tokens_of(n), [1.0] * len(names.tokens_of(n)), 1) for i, n in enumerate(rows)}
+    usual = linked(spark, rows)
+    direct = {(a, b) for a in rows for b in rows if a < b and (r := names.agree(forms[a], forms[b])) is not None and not r[2] and not r[3]}
+    assert direct <= usual and len(usual) > 50
+    monkeypatch.setattr(names, "SPLIT", 3)
+    assert linked(spark, rows) == usual
+
+
+def test_bigrams_find_all_slips():
+    rng = random.Random(4)
+    for _ in range(3000):
+        t = "".join(rng.choices("abcdefgh", k=rng.randrange(4, 14)))
+        u = list(t)
+        for _ in range(1 if len(t) < 8 else 2):
+            at = rng.randrange(len(u) - 1)
+            u[at : at + 2] = rng.choice([[u[at + 1], u[at]], [u[at]], ["x", u[at + 1]], [u[at], "y", u[at + 1]]])
+        u = "".join(u)
+        if u != t and names.near(t, u) is not None:
+            assert set(names.signatures(t, {})) & set(names.signatures(u, {})), (t, u)
+
+
 def test_names_of_common_words_only(spark):
     same = ["Volunteer Community Center", "Volunteer Cmnty Center", "Center, Volunteer Community"]
     rows = [(n,) for n in [*same, "Food Fund", "Food Foundation"]]
