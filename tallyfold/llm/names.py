@@ -157,7 +157,7 @@ def relation(t: str, u: str) -> tuple[float, str] | None:
     if of_t and of_u:
         return None
     d = near(t, u)
-    if d is None:  # a slip of another way to write the word
+    if d is None and min(len(t), len(u)) > 4:  # a slip of another way to write the word
         d = min((x for a, b in ((t, u), (u, t)) for w in _SPELT.get(b, ()) if (x := near(a, w)) is not None), default=None)
     if d is not None:
         return 1 - HARM * d / max(len(t), len(u)), "slip"

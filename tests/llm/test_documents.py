@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -178,3 +179,26 @@ def test_long_speech_stays_whole(opens, closes):
     pieces = ["We met on Monday.", f"She wrote {opens}{said}{closes} to all of us.", "They left early."]
     assert len(said) > 5000 and parts(" ".join(pieces)) == pieces
     assert len(sentences.shielded("(" * 200_000 + "„ " * 100_000)) == 0
+
+
+CLAUSES = {
+    "en": ["please bring water and gloves", "the shelter opens at eight", "we need ten people for the garden", "our team meets on friday"],
+    "es": ["traiga agua y guantes", "el refugio abre a las ocho", "buscamos diez personas para el jardín", "nuestro equipo se reúne el viernes"],
+}
+THAI_SAID = ["คุณสามารถมาช่วยดูแลสุนัขได้ไหม", "ทหารผ่านศึกรออยู่ที่โรงเรียนเสมอ", "ชวนเพื่อนมาที่ครัวชุมชนด้วยกันนะ", "เราต้องการอาสาสมัครทุกวันศุกร์"]
+
+
+def test_events_between_unmarked_words(spark):
+    """The model learns from marked texts where sentences begin and end, and finds them where no mark stands."""
+    r, rows = random.Random(6), []
+    for clauses in CLAUSES.values():
+        for _ in range(150):
+            rows.append(" ".join(r.choice(clauses).capitalize() + ". " for _ in range(6)).strip())
+    for _ in range(150):
+        rows.append(" ".join(r.sample(THAI_SAID, 4)))
+    typed = [" ".join(c) for c in CLAUSES.values()] + ["".join(THAI_SAID)]
+    df = spark.createDataFrame(list(enumerate([*rows, *typed])), "doc_id long, text string")
+    got = defaultdict(list)
+    for x in sentences.sentences(df, "doc_id", "text").where(f"key >= {len(rows)}").orderBy("start_at").collect():
+        got[x["key"] - len(rows)].append(typed[x["key"] - len(rows)][x["start_at"] : x["end_at"]])
+    assert got == {0: CLAUSES["en"], 1: CLAUSES["es"], 2: THAI_SAID}
