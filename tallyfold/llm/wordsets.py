@@ -35,8 +35,8 @@ from tallyfold.storage import spread
 WORD = re.compile(r"[^\W_]+")
 DF_BITS = 18  # cells of the document-frequency table: fixed, whatever the vocabulary
 SKETCH_BITS = 128
-BAND_ROWS = 5
-BANDS = 40
+BAND_ROWS = 4
+BANDS = 26
 
 
 class _Hashes(dict):
