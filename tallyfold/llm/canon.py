@@ -1,18 +1,20 @@
 """Mapping free-entered values to a canonical list (problem 6).
 
-1. A row's values are cleaned where they are read: case, accents, state and zip, a street typed in front, wrappings
-   such as "near" or "area", abbreviations. A value made of nothing but words like "online" or "various" names no
-   place, and the next value of the row is asked: the town of a full address.
-2. The distinct names that are asked for are few however many rows there are; only they go on.
+1. Rows are brought down to their distinct pairs of values first; only these go on, and the answers are joined back.
+2. Values are normalised: case, accents, state and zip, a street typed in front, wrappings such as "near" or "area",
+   abbreviations. A value made of nothing but words like "online" or "various" names no place, and the next value of
+   the row is asked: the town of a full address.
 3. Candidates come from an inverted index of character trigrams: names and entries are joined by trigram, rarer
-   ones weigh more (inverse entry frequency), and the sum over common ones gives the weighted cosine.
-4. A candidate is accepted if its cosine reaches THRESHOLD, its words agree with the entry's one by one up to a
-   slip or two (a missing, doubled, wrong or swapped letter), and no other entry is as near: fewer slips, then a
-   cosine higher by MARGIN.
-5. The answers are joined back to the rows; what is not accepted is reported as -1.
-
-Both sides of step 3 are joins by key, so the list may be of any length. A hot value is one value in step 2; in
-step 5 its rows meet one small row, which adaptive execution splits. Nulls and blanks: a row without any value
+   ones weigh more (inverse entry frequency), and the sum over common ones gives the weighted cosine. Candidates above LOOSE
+   only serve to normalise spelling: words of the name that are a slip or two (a missing, doubled, wrong or swapped
+   letter) from a word of the entry are written as there.
+4. The names so spelt are looked up in the index again. A candidate is accepted if its weighted cosine reaches THRESHOLD
+   and its score is above that of any other entry by MARGIN; the score is the cosine, less SLIP for every letter put
+   right and NTH for every wrapping taken off, and a little for the cosine of the name as typed.
+5. What is not accepted is reported as -1.
+
+Both sides of steps 3 and 4 are joins by key, so the list may be of any length. A hot value is one value from step 1 on; in
+the end its rows meet one small row, which adaptive execution splits. Nulls and blanks: a row without any value
 gives no row. Repeated rows each give their row. Very long texts are cleaned like others, in whole; empty
 lists report every row as -1. Entries with the same name: the smallest id.
 """
@@ -27,8 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.15  # two letters swapped leave a short name few of its trigrams
-MARGIN = 0.02
+from tallyfold.storage import materialize
+
+LOOSE = 0.15  # of a name before its spelling is put right: two letters swapped leave a short name few of its trigrams
+THRESHOLD = 0.9
+SLIP, NTH, TYPED = 0.1, 0.04, 0.2
+MARGIN = 0.004
 NONE = -1
 
 #: Abbreviated parts of place names, by place: at the start of a name, at its end. Fixed values.
@@ -152,24 +158,27 @@ def slips(a: str, b: str) -> int:
     return d[n + 1][m + 1]
 
 
-def agreement(name: str, entry: str) -> int | None:
-    """The slips that turn one name into the other word by word, None if they are too many: one, two in a name of
-    eleven letters or more, and none in words of one or two letters."""
+def respelt(name: str, entry: str) -> tuple[str, int] | None:
+    """The name with its words written as in the entry where they are slips of those, and the number of slips; None if
+    there are too many: one, two in a name of eleven letters or more, none in words of one or two letters. Words that
+    are no slips stay as they are."""
     if name == entry:
-        return 0
+        return name, 0
     most = 1 if len(entry) < 11 else 2
     x, y = name.split(), entry.split()
     if len(x) == len(y):
-        total = 0
+        total, out = 0, []
         for v, w in zip(x, y):
             d = 0 if v == w else slips(v, w)
-            total += d
-            if total > most or (d and min(len(v), len(w)) < 3):
-                return None
-        return total
+            if d > most or (d and min(len(v), len(w)) < 3):
+                out.append(v)
+            else:
+                total += d
+                out.append(w)
+        return (" ".join(out), total) if total <= most else None
     if abs(len(name) - len(entry)) < 3 and slips(name.replace(" ", ""), entry.replace(" ", "")) <= 1:  # a space too many or too few
-        return 1
-    return None
+        return entry, 1
+    return name, 0
 
 
 def trigrams(name: Column) -> Column:
@@ -203,25 +212,32 @@ def resolve(names: DataFrame, entries: DataFrame) -> DataFrame:
     weight = F.log(1 + size / F.coalesce(F.col("df"), F.lit(1)))
     weighed = grams.join(known, "g").withColumn("w", weight)
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
-    asked = names.select("asked").distinct().mapInArrow(read, "asked string, name string, nth int")
-    typed = asked.select("asked", "nth", "name", F.explode(trigrams(F.col("name"))).alias("g")).join(known, "g", "left").withColumn("w", weight)
-    own = typed.groupBy("asked", "nth", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    both = typed.join(weighed.select("g", "id", "entry"), "g").groupBy("asked", "nth", "name", "id", "entry").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    scored = both.join(own, ["asked", "nth", "name"]).join(norms, "id").withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("entry_norm"))).where(F.col("cosine") >= THRESHOLD)
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cosines(names: DataFrame, least: float) -> DataFrame:
+        """(name, id, entry, cosine): the entries whose weighted cosine with a name is high enough, by the index."""
+        typed = names.select("name", F.explode(trigrams(F.col("name"))).alias("g")).join(known, "g", "left").withColumn("w", weight)
+        own = typed.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        both = typed.join(weighed.select("g", "id", "entry", F.col("w").alias("we")), "g").groupBy("name", "id", "entry").agg(F.sum(F.col("w") * F.col("we")).alias("dot"))
+        return both.join(own, "name").join(norms, "id").withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("entry_norm"))).where(F.col("cosine") >= least).select("name", "id", "entry", "cosine")
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = [agreement(n, e) for n, e in zip(b.column("name").to_pylist(), b.column("entry").to_pylist())]
-            ok = pa.array([x is not None for x in d])
-            out = pa.RecordBatch.from_arrays([b.column("asked"), b.column("nth"), b.column("id"), b.column("cosine"), pa.array(d, pa.int32())], ["asked", "nth", "id", "cosine", "slips"])
+            got = [respelt(n, e) for n, e in zip(b.column("name").to_pylist(), b.column("entry").to_pylist())]
+            ok = pa.array([x is not None for x in got], pa.bool_())
+            names = pa.array([x[0] if x else None for x in got], pa.string())
+            out = pa.RecordBatch.from_arrays([b.column("name"), b.column("cosine"), names, pa.array([x[1] if x else 0 for x in got], pa.int32())], ["name", "typed", "spelt", "slips"])
             yield out.filter(ok)
 
-    good = scored.select("asked", "nth", "name", "id", "entry", "cosine").mapInArrow(checked, "asked string, nth int, id long, cosine double, slips int")
-    # an exact reading beats any slip; then the name as typed beats a reading without the words around it
-    ranked = good.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("slips", "nth", (-F.col("cosine")).alias("far"), "id"))).alias("c"))
-    first, second = F.element_at("c", 1), F.try_element_at("c", F.lit(2))
-    clear = second.isNull() | (second["slips"] > first["slips"]) | (second["nth"] > first["nth"]) | (second["id"] == first["id"]) | (second["far"] - first["far"] >= MARGIN) | (first["slips"] == 0)
-    return ranked.where(clear).select("asked", first["id"].alias("id"))
+    asked = materialize(names.select("asked").distinct().mapInArrow(read, "asked string, name string, nth int"), "asked")
+    first = cosines(asked.select("name").distinct(), LOOSE).mapInArrow(spelt, "name string, typed double, spelt string, slips int")
+    first = materialize(first.groupBy("name", "spelt").agg(F.max(F.struct(-F.col("slips"), "typed")).alias("m")).select("name", "spelt", (-F.col("m.col1")).alias("slips"), "m.typed"), "spelt")
+    second = cosines(first.select(F.col("spelt").alias("name")).distinct(), THRESHOLD).where(F.abs(F.length("name") - F.length("entry")) < 3).withColumnRenamed("name", "spelt")  # trigrams are a set, repeated words the same
+    good = asked.join(first, "name").join(second, "spelt")
+    score = F.col("cosine") - SLIP * F.col("slips") - NTH * F.col("nth") + TYPED * F.col("typed")
+    best = good.groupBy("asked", "id").agg(F.max(score).alias("score"))
+    ranked = best.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("below"), "id"))).alias("c"))
+    top, other = F.element_at("c", 1), F.try_element_at("c", F.lit(2))
+    return ranked.where(other.isNull() | (other["below"] - top["below"] >= MARGIN)).select("asked", top["id"].alias("id"))
 
 
 def match_places(rows: DataFrame, key: str, city: Column, full: Column, entries: DataFrame) -> DataFrame:
@@ -230,15 +246,14 @@ def match_places(rows: DataFrame, key: str, city: Column, full: Column, entries:
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, names = [], []
-            for k, c, f in zip(b.column("key").to_pylist(), b.column("city").to_pylist(), b.column("full").to_pylist()):
-                if not (c or "").strip() and not (f or "").strip():
-                    continue
-                keys.append(k)
-                names.append(place_name(c) or town_name(f))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column("key").type), pa.array(names, pa.string())], ["key", "asked"])
-
-    kind = both.schema["key"].dataType.simpleString()
-    wanted = both.mapInArrow(asked, f"key {kind}, asked string")
-    answers = resolve(wanted.where("asked is not null"), entries)
-    return wanted.join(answers, "asked", "left").select("key", F.coalesce("id", F.lit(NONE)).cast("long").alias("id"))
+            keep = [bool((c or "").strip() or (f or "").strip()) for c, f in zip(b.column("city").to_pylist(), b.column("full").to_pylist())]
+            b = b.filter(pa.array(keep, pa.bool_()))
+            names = [place_name(c) or town_name(f) for c, f in zip(b.column("city").to_pylist(), b.column("full").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("city"), b.column("full"), pa.array(names, pa.string())], ["city", "full", "asked"])
+
+    # the second value counts only where the first names no place; most pairs of values are of few kinds
+    pairs = both.select("city", "full").distinct()
+    wanted = materialize(pairs.mapInArrow(asked, "city string, full string, asked string"), "wanted")
+    answers = wanted.join(resolve(wanted.where("asked is not null"), entries), "asked", "left").select("city", "full", F.coalesce("id", F.lit(NONE)).cast("long").alias("id"))
+    same = both["city"].eqNullSafe(answers["city"]) & both["full"].eqNullSafe(answers["full"])
+    return both.join(answers, same).select(both["key"], answers["id"])
