@@ -1,11 +1,12 @@
 """Deduplicating new batches against all history (problem 2) with a persistent fingerprint store.
 
-The store is a folder of append-only parquet tables:
+The store is a folder of parquet tables, each with a folder for every ingest:
 
 ``meta``          one row: the frozen word frequencies, what counts as rare, the threshold, the number of parts
 ``fingerprints``  (part, blob, bloom): per ingest and part the packed fingerprints, sorted, and a Bloom filter of them
 ``sets``          (set_id, n_words, words): the word sets, to verify what the fingerprints propose
-``rows``          (key, set_id, id_key): every row seen
+``ids``           (key, id_key): the ids of every row seen
+``manifest``      (version, folder, batch): the folders that count, those of the highest version
 
 Fingerprints are min-wise winnowed: a record's rare words, and per band the smallest hashes of its common words
 (``wordsets.keys_of``). Winnowing in hash order instead of text order is needed here because rows count as alike by
@@ -18,15 +19,17 @@ fingerprint never changes; words unknown to the store count as rare.
 3. reads the parts with positives, keeps the fingerprints asked for (a fixed-size filter of the positives goes
    to the readers; nothing else of the history is shuffled), compares sketches,
 4. verifies the shared coverage, that is the shared words against all words of both, with the exact sets,
-5. appends the new fingerprints, filters, sets and rows.
+5. adds the new fingerprints, filters, sets and ids, by a new version of the manifest.
 
 Rows without a usable text still match by id. Null and blank ids match nothing. Within one call rows are told
-apart by their key, so several batches may be ingested at once with the same result as one after the other; a
-batch that is ingested twice is reported again. Empty batches and an empty history give an empty result.
+apart by their key, so several batches may be ingested at once with the same result as one after the other. The manifest is written
+last: what a failed ingest left behind is never read, and a retry writes a folder of its own. A batch that is ingested under a
+name already in the manifest is reported again and adds nothing. ``compact`` rewrites all folders as one. Empty batches and an empty history give an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,17 +110,23 @@ def _by_part(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> dic
     return out
 
 
+def _sorted(blobs: list[bytes]) -> np.ndarray:
+    rec = np.frombuffer(b"".join(blobs), POSTING)
+    rec = rec[np.lexsort((rec["id"], rec["key"]))].copy()
+    rec["side"] = 0
+    return rec
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a part: its fingerprints sorted by key, and their Bloom filter."""
     for part, (blobs,) in _by_part(batches, ("blob",)).items():
-        rec = np.frombuffer(b"".join(blobs), POSTING)
-        rec = rec[np.lexsort((rec["id"], rec["key"]))].copy()
-        rec["side"] = 0
+        rec = _sorted(blobs)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rec.tobytes()], pa.binary()), pa.array([bloom(np.unique(rec["key"]))], pa.binary())], ["dest", "blob", "bloom"])
 
 
 def _prescreened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The new fingerprints that a Bloom filter of their part knows, or that two new sets share."""
+    """One row a part: the new fingerprints that a Bloom filter of the part knows or that two new sets share (wanted), and
+    all new ones as they go into the store."""
     for part, (blobs, filters) in _by_part(batches, ("blob", "bloom")).items():
         if not blobs:
             continue
@@ -126,9 +135,8 @@ def _prescreened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = n > 1
         for f in filters:
             hit |= in_bloom(key, f)
-        rec = rec[hit[at]]
-        if len(rec):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rec.tobytes()], pa.binary())], ["dest", "blob"])
+        want = rec[hit[at]]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([want.tobytes() if len(want) else None], pa.binary()), pa.array([_sorted(blobs).tobytes()], pa.binary()), pa.array([bloom(key)], pa.binary())], ["dest", "wanted", "blob", "bloom"])
 
 
 class FingerprintStore:
@@ -146,47 +154,55 @@ class FingerprintStore:
         """A store of all rows of ``history``. ``key``: unique, integral, grows with arrival."""
         spark = history.sparkSession
         path = path or new_folder(spark, "store")
-        cls._rows(history, key, id, texts, required, path)
-        sets = spark.read.parquet(f"{path}/sets")
+        folder = uuid.uuid4().hex
+        cls._rows(history, key, id, texts, required, path, folder)
+        sets = spark.read.parquet(f"{path}/sets/{folder}")
         n = sets.count()
         cells = wordsets.frequencies(sets)
         parts = 8 * blocks.partitions_for(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
         schema = "cells binary, rare long, threshold double, parts int, key string, texts array<string>, required string, id string"
         spark.createDataFrame([(cells.astype(np.int32).tobytes(), wordsets.rare_limit(n), threshold, parts, key, texts, required, id)], schema).coalesce(1).write.parquet(f"{path}/meta")
         self = cls(spark, path)
-        self._append(self._fingerprints(sets, 0))
+        sent = blocks.postings(sets, self.cells, self.rare, self.threshold, 0, self.parts, 0)
+        sent.repartition(max(1, parts // 8), "dest").mapInArrow(_packed, "dest int, blob binary, bloom binary").write.parquet(f"{path}/fingerprints/{folder}")
+        self._commit([(folder, None)])
         return self
 
+    def _manifest(self) -> list[tuple[int, str, str | None]]:
+        """(version, folder, batch) of the folders that count: as many as there were ingests since the store was compacted."""
+        rows = self.spark.read.schema("version long, folder string, batch string").parquet(f"{self.path}/manifest")
+        return [tuple(r) for r in rows.join(rows.agg(F.max("version").alias("version")), "version").select("version", "folder", "batch").collect()]
+
+    def _commit(self, folders: list[tuple[str, str | None]], after: int = 0) -> None:
+        """Make these the folders that count. One small file, which Spark's committer adds whole or not at all."""
+        self.spark.createDataFrame([(after + 1, f, b) for f, b in folders], "version long, folder string, batch string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _table(self, name: str, known: list[tuple[int, str, str | None]]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{name}/{f}" for f in dict.fromkeys(f for _, f, _ in known)])
+
     @staticmethod
-    def _rows(df: DataFrame, key: str, id: str, texts: list[str], required: str, path: str) -> None:
-        """Append the word sets and the rows. Two narrow reads of the new rows, no shuffle."""
-        named = wordsets.word_sets(df, key, texts, required)
-        named.write.mode("append").parquet(f"{path}/sets")
+    def _rows(df: DataFrame, key: str, id: str, texts: list[str], required: str, path: str, folder: str) -> None:
+        """Write the word sets and the ids. Two narrow reads of the new rows, no shuffle."""
+        wordsets.word_sets(df, key, texts, required).write.parquet(f"{path}/sets/{folder}")
         # any white space at the ends, as Unicode counts it
         norm = F.regexp_replace(F.lower(F.regexp_replace(F.col(id), r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")), "^$", "")
-        df.select(F.col(key).cast("long").alias("key"), norm.alias("id_key")).where("key is not null and id_key <> ''").write.mode("append").parquet(f"{path}/ids")
-
-    def _fingerprints(self, sets: DataFrame, side: int) -> DataFrame:
-        return blocks.postings(sets, self.cells, self.rare, self.threshold, 0, self.parts, side)
+        df.select(F.col(key).cast("long").alias("key"), norm.alias("id_key")).where("key is not null and id_key <> ''").write.parquet(f"{path}/ids/{folder}")
 
-    def _append(self, sent: DataFrame) -> None:
-        reducers = max(1, self.parts // 8)
-        sent.repartition(reducers, "dest").mapInArrow(_packed, "dest int, blob binary, bloom binary").write.mode("append").parquet(f"{self.path}/fingerprints")
-
-    def ingest(self, batch: DataFrame) -> DataFrame:
+    def ingest(self, batch: DataFrame, name: str | None = None) -> DataFrame:
         """(seen_key, new_key): for each row of ``batch`` every row with a smaller key, of the history or of the batch,
-        with the same id or alike. The rows of the batch are history from then on. The result is a written table."""
+        with the same id or alike. The rows of the batch are history from then on, once under a name. The result is a written table."""
         spark, reducers = self.spark, max(1, self.parts // 8)
-        fresh = new_folder(spark, "batch")
-        self._rows(batch, self.key, self.id, self.texts, self.required, fresh)
-        new_sets, new_ids = spark.read.parquet(f"{fresh}/sets"), spark.read.parquet(f"{fresh}/ids")
-        old_sets, old_ids = spark.read.parquet(f"{self.path}/sets"), spark.read.parquet(f"{self.path}/ids")
-        old_prints = spark.read.parquet(f"{self.path}/fingerprints")
-        sent = materialize(self._fingerprints(new_sets, 1), "sent")
+        known, folder = self._manifest(), uuid.uuid4().hex
+        self._rows(batch, self.key, self.id, self.texts, self.required, self.path, folder)
+        new_sets, new_ids = spark.read.parquet(f"{self.path}/sets/{folder}"), spark.read.parquet(f"{self.path}/ids/{folder}")
+        old_sets, old_ids, old_prints = (self._table(t, known) for t in ("sets", "ids", "fingerprints"))
+        sent = blocks.postings(new_sets, self.cells, self.rare, self.threshold, 0, self.parts, 1)
         none = F.lit(None).cast("binary")
         together = sent.withColumn("bloom", none).unionByName(old_prints.select("dest", none.alias("blob"), "bloom"))
-        positive = materialize(together.repartition(reducers, "dest").mapInArrow(_prescreened, "dest int, blob binary"), "positive")
-        parts = [r["dest"] for r in positive.select("dest").distinct().collect()]  # at most as many as the store has parts
+        together.repartition(reducers, "dest").mapInArrow(_prescreened, "dest int, wanted binary, blob binary, bloom binary").write.parquet(f"{self.path}/fingerprints/{folder}")
+        # what goes into the store is written with what is asked of it, so that it is shuffled once
+        positive = spark.read.parquet(f"{self.path}/fingerprints/{folder}").where("wanted is not null").select("dest", F.col("wanted").alias("blob"))
+        parts = [r["dest"] for r in positive.select("dest").collect()]  # at most as many as the store has parts
         near = blocks.candidates(positive.unionByName(self._looked_up(old_prints.where(F.col("dest").isin(parts)).select("dest", "blob"), positive)).repartition(reducers, "dest"), self.threshold, new_only=True)
         near = materialize(near.distinct(), "near")
         asked = _lanes(near.select(F.explode(F.array("a", "b")).alias("set_id")), "set_id")
@@ -197,14 +213,23 @@ class FingerprintStore:
         mates = _lanes(near.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(mine), "set_id")
         seen = new_sets.select("key", "set_id").unionByName(_asked(old_sets.select("key", "set_id"), "set_id", mates))
         by_text = links.join(new_sets.select(F.col("set_id").alias("b"), F.col("key").alias("new_key")), "b").join(seen.select(F.col("set_id").alias("a"), F.col("key").alias("seen_key")), "a").select("seen_key", "new_key")
-        known = new_ids.unionByName(_asked(old_ids.select("key", "id_key"), "id_key", _lanes(new_ids, "id_key")))
-        by_id = new_ids.select("id_key", F.col("key").alias("new_key")).join(known.select("id_key", F.col("key").alias("seen_key")), "id_key").select("seen_key", "new_key")
+        ids = new_ids.unionByName(_asked(old_ids.select("key", "id_key"), "id_key", _lanes(new_ids, "id_key")))
+        by_id = new_ids.select("id_key", F.col("key").alias("new_key")).join(ids.select("id_key", F.col("key").alias("seen_key")), "id_key").select("seen_key", "new_key")
         found = materialize(by_text.unionByName(by_id).where("seen_key < new_key").distinct(), "seen")
-        new_sets.write.mode("append").parquet(f"{self.path}/sets")
-        new_ids.write.mode("append").parquet(f"{self.path}/ids")
-        self._append(sent)
+        if name is None or name not in [b for _, _, b in known]:
+            self._commit([(f, b) for _, f, b in known] + [(folder, name)], known[0][0])
         return found
 
+    def compact(self) -> None:
+        """Write all folders that count as one, a part's fingerprints and Bloom filters merged. Results do not change."""
+        known, folder = self._manifest(), uuid.uuid4().hex
+        for t in ("sets", "ids"):
+            self._table(t, known).write.parquet(f"{self.path}/{t}/{folder}")
+        prints = self._table("fingerprints", known).select("dest", "blob").repartition(max(1, self.parts // 8), "dest")
+        prints.mapInArrow(_packed, "dest int, blob binary, bloom binary").write.parquet(f"{self.path}/fingerprints/{folder}")
+        names = {b for _, _, b in known if b is not None}
+        self._commit([(folder, b) for b in sorted(names)] or [(folder, None)], known[0][0])
+
     def _looked_up(self, prints: DataFrame, positive: DataFrame) -> DataFrame:
         """The history's fingerprints with a key of the positives. Their keys go to the readers as a filter of
         fixed size; keys it lets through by mistake form blocks without a new record and end there."""

@@ -19,15 +19,18 @@ _WORDS = _SETS.format(t="volops_dallasdoinggood")
 _ALL = f"{_WORDS} UNION ALL {_SETS.format(t='volops_batches')}"
 _UNIT = "SELECT row_no, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM opportunities WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0"
 
+_SEEN = f"""WITH w AS ({_ALL}), n AS (SELECT ord, count(*) AS n FROM w GROUP BY ord), b AS (SELECT ord FROM volops_batches),
+p AS (SELECT s.ord AS seen_ord, x.ord AS new_ord, count(*) AS c FROM w x JOIN w s ON s.w = x.w AND s.ord < x.ord WHERE x.ord IN (SELECT ord FROM b) GROUP BY 1, 2),
+alike AS (SELECT seen_ord, new_ord FROM p JOIN n a ON a.ord = seen_ord JOIN n z ON z.ord = new_ord WHERE c >= 0.7 * (a.n + z.n - c) - 1e-9),
+i AS (SELECT ord, lower(trim(id)) AS k FROM (SELECT ord, id FROM volops_dallasdoinggood UNION ALL SELECT ord, id FROM volops_batches) WHERE trim(id) <> '')
+SELECT seen_ord, new_ord FROM alike UNION SELECT s.ord, x.ord FROM i x JOIN i s ON s.k = x.k AND s.ord < x.ord WHERE x.ord IN (SELECT ord FROM b)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": f"""WITH r AS (SELECT v.ord, md5(concat_ws(chr(0), {_KEY})) AS k, s.rank, coalesce({_AT}, -(1::bigint << 62)) AS at_, regexp_matches(coalesce(v.schedule.raw, ''), '{_SAYS}') AS says
  FROM volops_dallasdoinggood v LEFT JOIN (SELECT lower(trim(source)) AS source, min(trust_rank) AS rank FROM source_ranks GROUP BY 1) s ON {_norm('v.source')} = s.source)
 SELECT min(ord) AS group_ord, arg_max(ord, (-coalesce(rank, 1000000), at_, -ord)) AS source_ord, arg_max(ord, (at_, -ord)) AS scraped_ord, coalesce(arg_max(ord, (at_, -ord)) FILTER (says), -1) AS schedule_ord FROM r GROUP BY k HAVING count(*) > 1""",
-    "p2_found": f"""WITH w AS ({_ALL}), n AS (SELECT ord, count(*) AS n FROM w GROUP BY ord), b AS (SELECT ord FROM volops_batches),
-p AS (SELECT s.ord AS seen_ord, x.ord AS new_ord, count(*) AS c FROM w x JOIN w s ON s.w = x.w AND s.ord < x.ord WHERE x.ord IN (SELECT ord FROM b) GROUP BY 1, 2),
-alike AS (SELECT seen_ord, new_ord FROM p JOIN n a ON a.ord = seen_ord JOIN n z ON z.ord = new_ord WHERE c >= 0.7 * (a.n + z.n - c) - 1e-9),
-i AS (SELECT ord, lower(trim(id)) AS k FROM (SELECT ord, id FROM volops_dallasdoinggood UNION ALL SELECT ord, id FROM volops_batches) WHERE trim(id) <> '')
-SELECT seen_ord, new_ord FROM alike UNION SELECT s.ord, x.ord FROM i x JOIN i s ON s.k = x.k AND s.ord < x.ord WHERE x.ord IN (SELECT ord FROM b)""",
+    "p2_found": _SEEN,
+    "p2_batches": f"SELECT batch_no, count(*) AS n_pairs, count(DISTINCT new_ord) AS n_seen FROM ({_SEEN}) JOIN (SELECT ord AS new_ord, batch_no FROM volops_batches) USING (new_ord) GROUP BY batch_no",
     "p3_found": f"""WITH w AS ({_WORDS}), n AS (SELECT ord, count(*) AS n FROM w GROUP BY ord), p AS (SELECT a.ord AS ord_a, b.ord AS ord_b, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.ord < b.ord GROUP BY 1, 2)
 SELECT ord_a, ord_b FROM p JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9""",
     "p5_found": f"""WITH u AS ({_UNIT}), s AS (SELECT a.row_no AS q, b.row_no AS r, row_number() OVER (PARTITION BY a.row_no ORDER BY round(list_dot_product(a.v, b.v) / (a.n * b.n), 12) DESC, b.row_no) AS k FROM u a JOIN u b ON a.row_no <> b.row_no)

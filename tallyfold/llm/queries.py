@@ -22,9 +22,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schedule that copy-discounted votes favour, and how sure they are, for every group."""
+    """What copy-discounted votes favour, field by field, and how sure they are, for every group."""
     fused = survivors.fuse(table(spark, sf_dir, "volops_dallasdoinggood"), table(spark, sf_dir, "source_ranks"))
-    return fused.select(F.col("group_key").alias("group_ord"), "n_rows", "claims", "schedule", F.round("schedule_p", 6).alias("schedule_p"))
+    return fused.select(F.col("group_key").alias("group_ord"), "n_rows", "claims", "source", "scraped", "schedule", *[F.round(f"{c}_p", 6).alias(f"{c}_p") for c in ("source", "scraped", "schedule")])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.ingest(table(spark, sf_dir, "volops_batches")).toDF("seen_ord", "new_ord")
 
 
+def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch by batch, each against all that came before it: how many pairs it gave, and how many of its rows were seen before."""
+    store = FingerprintStore.create(table(spark, sf_dir, "volops_dallasdoinggood"), "ord", "id", TEXTS, "description_long", ALIKE)
+    rows = table(spark, sf_dir, "volops_batches")
+    batches = [r["batch_no"] for r in rows.select("batch_no").distinct().orderBy("batch_no").collect()]  # they get longer, not more
+    found = None
+    for n in batches:
+        seen = store.ingest(rows.where(F.col("batch_no") == n), str(n)).withColumn("batch_no", F.lit(n))
+        found = seen if found is None else found.unionByName(seen)
+    if found is None:
+        return spark.createDataFrame([], "batch_no long, n_pairs long, n_seen long")
+    return found.groupBy("batch_no").agg(F.count("*").alias("n_pairs"), F.count_distinct("new_key").alias("n_seen"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "volops_dallasdoinggood")
     return neardup.near_duplicates(rows, "ord", TEXTS, "description_long", ALIKE).toDF("ord_a", "ord_b")
@@ -93,4 +107,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p6_found, p7_packing, p7_fill, p8_mix, p8_shares, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_batches, p3_found, p3_classes, p4_found, p4_entities, p5_found, p6_found, p7_packing, p7_fill, p8_mix, p8_shares, p9_found)}

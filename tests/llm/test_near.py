@@ -183,3 +183,22 @@ def test_pairs_without_a_shared_rare_word_meet(common, rare):
     keys = [set(key[row == i].tolist()) for i in range(len(blobs))]
     missed = sum(not keys[i] & keys[i + 1] for i in range(0, len(blobs), 2))
     assert missed <= 2, missed
+
+
+def test_store_commits_names_and_compacts(spark, tmp_path):
+    rows = rows_of(12, 60)
+    df = lambda part: spark.createDataFrame(part, SCHEMA)
+    store = FingerprintStore.create(df(rows[:40]), "ord", "id", TEXTS, "body")
+    first = set(map(tuple, store.ingest(df(rows[40:50]), "one").collect()))
+    # under its name a batch is reported again and adds nothing
+    assert set(map(tuple, store.ingest(df(rows[40:50]), "one").collect())) == first
+    assert len(store._manifest()) == 2
+    # what an ingest leaves behind that fails before its manifest is never read
+    commit, store._commit = store._commit, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        store.ingest(df(rows[50:]), "two")
+    store._commit = commit
+    whole = set(map(tuple, FingerprintStore.create(df(rows[:40]), "ord", "id", TEXTS, "body").ingest(df(rows[40:])).collect()))
+    store.compact()
+    assert len({f for _, f, _ in store._manifest()}) == 1
+    assert first | set(map(tuple, store.ingest(df(rows[50:]), "two").collect())) == whole
