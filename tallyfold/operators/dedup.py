@@ -44,7 +44,9 @@ def _pairs(rows: DataFrame, by: list[str], wanted: Column, best: Column) -> Data
     """(ord, keeper_ord) of the rows that a better one of their group replaces.
 
     Groups are decided by an aggregation with partial steps; only the small result meets the rows again."""
-    group = rows.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("signal").alias("signals"), F.countDistinct("tidy_source").alias("sources"), F.min_by("ord", best).alias("keeper_ord")).where((F.col("n") > 1) & (F.col("signals") <= 1) & wanted)
+    # smallest and largest tell whether there are several: no expansion of the rows for distinct counts
+    same = F.min("signal").eqNullSafe(F.max("signal")).alias("one_signal")
+    group = rows.groupBy(*by).agg(F.count("*").alias("n"), same, (F.min("tidy_source") < F.max("tidy_source")).alias("several_sources"), F.min_by("ord", best).alias("keeper_ord")).where((F.col("n") > 1) & F.col("one_signal") & wanted)
     return rows.select("ord", *by).join(group.select(*by, "keeper_ord"), by).where("ord <> keeper_ord").select("ord", "keeper_ord")
 
 
@@ -58,7 +60,7 @@ def across_sources(listings: DataFrame) -> DataFrame:
     """Duplicates that several sources carry: the most trusted source's row stays, then the most complete."""
     tier = F.coalesce(F.try_element_at(F.create_map(*[x for s, t in SOURCE_TIERS.items() for x in (F.lit(s), F.lit(t))]), F.col("tidy_source")), F.lit(LAST_TIER))
     rows = keyed(listings).where(alive()).select("ord", "dup_key", squeezed(F.col("source")).alias("tidy_source"), schedule_signal().alias("signal"), completeness().alias("filled"))
-    return _pairs(rows, ["dup_key"], F.col("sources") > 1, F.struct(tier, -F.col("filled"), F.col("ord")))
+    return _pairs(rows, ["dup_key"], F.col("several_sources"), F.struct(tier, -F.col("filled"), F.col("ord")))
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -52,3 +52,24 @@ def appended(existing: DataFrame, entries: DataFrame, key: str, order: str) -> D
     """The entries to append: ids neither there already nor earlier among the entries."""
     firsts = entries.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*entries.columns), order).alias("r")).select("r.*")
     return firsts.join(existing.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+
+
+def merge_scraped(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
+    """(id, source, status): one source's fresh scrape into all that is known. Rows of that source that it no longer lists become
+    inactive; rows of other sources keep their status. A full outer join on the id, a row an id on either side."""
+    o = last_written(old.select("ord", "id", "source", "status"), "id", "ord").select("id", F.col("source").alias("old_source"), F.col("status").alias("old_status"))
+    n = last_written(new.where(F.col("source") == source).select("ord", "id", "source"), "id", "ord").select("id", F.col("source").alias("new_source"))
+    gone = F.col("old_source").eqNullSafe(source)
+    status = F.when(F.col("new_source").isNotNull(), F.lit("active")).when(gone, F.lit("inactive")).otherwise(F.col("old_status"))
+    return o.join(n, "id", "full_outer").select("id", F.coalesce("new_source", "old_source").alias("source"), status.alias("status"))
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of ``new``, the last of each key, and those of ``old`` whose key they do not have. Null keys take no part."""
+    fresh = last_written(new, key, order)
+    return fresh.unionByName(old.where(F.col(key).isNotNull()).join(fresh.select(key), key, "left_anti"))
+
+
+def of_bodies(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The rows of the bodies named (id), without inactive ones."""
+    return rows.where(~F.col("status").eqNullSafe("inactive")).join(bodies.select(F.col("id").alias("org_id")).distinct(), "org_id", "left_semi")

@@ -65,6 +65,30 @@ def lexemes(text: Column) -> Column:
     return F.transform(words, stem)
 
 
+def websearch(text: Column, query: str) -> Column:
+    """Whether a text matches a query as search engines take them: all words, "phrases" word by word, ``or`` between
+    alternatives (it binds less than the rest), ``-`` before what must not occur. Stop words are left out; a query of
+    nothing else matches nothing, an unclosed quote reaches to the end."""
+    lex = lexemes(text)
+    line = F.concat(F.lit(" "), F.array_join(lex, " "), F.lit(" "))
+    alternatives: list[list[Column]] = [[]]
+    for sign, quoted, bare in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', query.lower()):
+        if bare == "or" and not sign:
+            alternatives.append([])
+            continue
+        stems = [stem_word(w) for w in re.findall("[a-z0-9]+", quoted or bare) if w not in STOP_WORDS]
+        if stems:
+            hit = line.contains(f" {' '.join(stems)} ") if len(stems) > 1 else F.array_contains(lex, stems[0])
+            alternatives[-1].append(~hit if sign else hit)
+    found = F.lit(False)
+    for terms in filter(None, alternatives):
+        every = F.lit(True)
+        for t in terms:
+            every &= t
+        found |= every
+    return found
+
+
 def lexical_rank(text: Column, query: str) -> Column:
     """Frequency of the query's stems, damped by the text's length; null unless every stem occurs."""
     stems = sorted({stem_word(w) for w in re.findall("[a-z0-9]+", query.lower()) if w not in STOP_WORDS})

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.web import plain
 
+T = TypeVar("T")
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether any file matches a path or glob, on whatever store it lies."""
@@ -82,15 +88,33 @@ def settings(text: str) -> dict[str, str]:
 
 
 def replace_table(df: DataFrame, path: str, **options: str) -> None:
-    """Write to a fresh folder, then swap it in, so that a failed run leaves the old table whole."""
+    """Write to a fresh folder, move the old one aside, move the fresh one in, then delete the old one: at no time is there
+    less than one whole table. A table found aside only, after a crash between the moves, is moved back first."""
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.next"
-    df.write.mode("overwrite").options(**options).parquet(fresh)
     jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    fresh, old, aside = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + x) for x in (".next", "", ".last"))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(aside) and not fs.exists(old):
+        fs.rename(aside, old)
+    df.write.mode("overwrite").options(**options).parquet(fresh.toString())
+    fs.delete(aside, True)
+    if fs.exists(old):
+        fs.rename(old, aside)
+    if not fs.rename(fresh, old):
+        raise OSError(f"{fresh} could not be moved to {path}")
+    fs.delete(aside, True)
+
+
+def retried(step: Callable[[], T], tries: int = 4, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> T:
+    """The result of a step that may fail for a while; the waits double, the last failure is raised."""
+    for n in range(tries):
+        try:
+            return step()
+        except Exception:
+            if n + 1 == tries:
+                raise
+            sleep(wait * 2**n)
+    raise ValueError("no tries")
 
 
 def digest(posts: DataFrame, day: str, most: int = 100) -> str:

@@ -45,6 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():  # by setCheckpointDir alone
+        return set_before.get().rstrip("/")
     own = f"file://{tempfile.mkdtemp(prefix='tallyfold-')}"
     spark.sparkContext.setCheckpointDir(own)
     spark.conf.set("spark.checkpoint.dir", own)

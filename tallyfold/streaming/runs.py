@@ -25,11 +25,11 @@ def opened(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, label: str, mode: str = "append", path: str | None = None) -> DataFrame:
     """All that is there now, run through a stream with a checkpoint in the shared folder, and read back.
 
-    A restart with the same folders goes on where the last run stopped."""
-    spark, path = stream.sparkSession, new_folder(stream.sparkSession, label)
+    path: a folder of an earlier run, which goes on where that one stopped; without it a fresh folder."""
+    spark, path = stream.sparkSession, path or new_folder(stream.sparkSession, label)
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
