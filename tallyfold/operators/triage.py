@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.text import body_name
 from tallyfold.functions.web import host
+from tallyfold.storage import materialize
 
 REASONS = ("no_domain", "blocklisted", "ledgered", "covered", "keep")
 
@@ -36,15 +37,16 @@ def known_names(asked: DataFrame, known: DataFrame) -> DataFrame:
     def _piece(n: Column, q: int):
         return lambda i: F.substring(n, i, q)
 
-    both = a.unionByName(k).distinct().select("name", F.explode(grams(F.col("name"))).alias("g"))
+    # each side is read once: names with their side, then their grams, are written
+    sided = a.withColumn("mine", F.lit(True)).unionByName(k.withColumn("mine", F.lit(False))).groupBy("name").agg(F.bool_or("mine").alias("asked"), F.bool_or(~F.col("mine")).alias("known"))
+    both = materialize(sided.select("name", "asked", "known", F.explode(grams(F.col("name"))).alias("g")), "grams")
     often = both.groupBy("g").agg(F.count("*").alias("df"))
     full = both.where(F.length("g") == F.least(F.length("name"), F.lit(3))).join(often, "g")
-    rarest = full.groupBy("name").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
-    small_known, small_asked = rarest.join(k, "name", "left_semi"), rarest.join(a, "name", "left_semi")
-    has = both.withColumnRenamed("name", "whole")
-    within = small_known.join(has, "g").where("contains(whole, name)").select(F.col("whole").alias("name")).join(a, "name", "left_semi")
-    inside = small_asked.join(has, "g").where("contains(whole, name)").join(k.withColumnRenamed("name", "whole"), "whole", "left_semi").select("name")
-    return within.unionByName(inside).distinct()
+    rarest = full.groupBy("name", "asked", "known").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    has = both.select("g", F.col("name").alias("whole"), F.col("asked").alias("whole_asked"), F.col("known").alias("whole_known"))
+    met = rarest.join(has, "g").where("contains(whole, name)")
+    pairs = met.select(F.explode(F.array(F.when(F.col("known") & F.col("whole_asked"), F.col("whole")), F.when(F.col("asked") & F.col("whole_known"), F.col("name")))).alias("name"))
+    return pairs.where("name is not null").distinct()
 
 
 def triaged(candidates: DataFrame, blocklist: DataFrame, ledger: DataFrame, known_domains: DataFrame, known: DataFrame) -> DataFrame:
@@ -62,6 +64,7 @@ def triaged(candidates: DataFrame, blocklist: DataFrame, ledger: DataFrame, know
 
 def funnel(triage: DataFrame, samples: int = 8) -> DataFrame:
     """(reason, n, samples): counts and the first few domains of each reason; ranks limit before anything is gathered."""
+    triage = materialize(triage, "triage")
     counts = triage.groupBy("reason").agg(F.count("*").alias("n"))
     few = triage.where("domain <> ''").select("reason", "domain").distinct().withColumn("r", F.row_number().over(Window.partitionBy("reason").orderBy("domain"))).where(F.col("r") <= samples)
     shown = few.groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("domain")), "|").alias("samples"))

@@ -140,6 +140,15 @@ def quota_peek(spark: SparkSession, d: str) -> DataFrame:
     return quota.peek(quota.timed(table(spark, d, "search_log")), 1_773_100_800_000_000)
 
 
-@query()
+#: Request after request: the admitted ones of the last day as a list that each decision hands on.
+ADMITTED = """WITH RECURSIVE o AS (SELECT id, ip_hash, epoch_us(created_at) AS at_us, row_number() OVER (ORDER BY epoch_us(created_at), id) AS n FROM search_log WHERE id IS NOT NULL AND created_at IS NOT NULL),
+r AS (SELECT 0::bigint AS n, 0::bigint AS id, true AS allowed, NULL::varchar AS reason, 0 AS remaining, []::struct(a bigint, i varchar)[] AS kept
+UNION ALL SELECT n, id, used < 5 AND len(recent) < 50, CASE WHEN len(recent) >= 50 THEN 'global' WHEN used >= 5 THEN 'ip' END, CASE WHEN used < 5 AND len(recent) < 50 THEN 4 - used ELSE 0 END,
+ CASE WHEN used < 5 AND len(recent) < 50 THEN list_append(recent, {'a': at_us, 'i': ip_hash}) ELSE recent END
+ FROM (SELECT *, len(list_filter(recent, lambda x: x.i IS NOT DISTINCT FROM ip_hash))::int AS used FROM (SELECT o.*, list_filter(r.kept, lambda x: x.a > o.at_us - 86400000000) AS recent FROM r JOIN o ON o.n = r.n + 1)))
+SELECT id, allowed, reason, remaining::int AS remaining FROM r WHERE n > 0"""
+
+
+@query(ADMITTED)
 def quota_admission(spark: SparkSession, d: str) -> DataFrame:
     return quota.admissions(quota.timed(table(spark, d, "search_log")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import models
 from tallyfold.queries.registry import LISTINGS, query
+from tallyfold.queries.retrieval import ADMITTED
 from tallyfold.storage import table
 from tallyfold.streaming import runs
 
@@ -18,7 +19,7 @@ def stream_first_sightings(spark: SparkSession, d: str) -> DataFrame:
     return runs.drained(runs.first_sightings(rows, "id", "at", "3650 days"), "sightings").select("id")
 
 
-@query()
+@query(ADMITTED)
 def stream_quota(spark: SparkSession, d: str) -> DataFrame:
     return runs.drained(runs.admitted(runs.opened(spark, d, "search_log")), "admitted")
 
