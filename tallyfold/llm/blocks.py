@@ -17,13 +17,28 @@ from pyspark.sql import functions as F
 from tallyfold.llm import bitslice, wordsets
 from tallyfold.storage import materialize
 
-#: key: the key's hash within its destination; id: the set; n: its words; s: its sketch; side: 1 if it is new
-POSTING = np.dtype([("key", "<u4"), ("id", "<i8"), ("n", "<u4"), ("s", "<u8", (2,)), ("side", "u1")])
+#: key: the key's hash within its destination; id: the set; n: its words, from MANY on as MANY, and OF_NEW if it is new; s: its sketch
+POSTING = np.dtype([("key", "<u4"), ("id", "<i8"), ("n", "<u2"), ("s", "<u8", (2,))])
+MANY, OF_NEW = 0x7FFF, 0x8000
 TARGET_BYTES = 24 << 20  # of postings that one reducer takes
 SPLIT = 16384  # records of a block from which its comparison is dealt out as tiles
 TILE = 8192
 
 
+def noted(n: np.ndarray, side: int) -> np.ndarray:
+    return (np.minimum(n, MANY) | (OF_NEW if side else 0)).astype(np.uint16)
+
+
+def sizes_of(n: np.ndarray) -> np.ndarray:
+    """The words of sets as noted; of MANY or more no limit is known, so that none is drawn."""
+    size = (n & MANY).astype(np.int64)
+    return np.where(size == MANY, np.int64(1) << 40, size)
+
+
+def is_new(n: np.ndarray) -> np.ndarray:
+    return (n >> 15).astype(np.uint8)
+
+
 def partitions_for(n_sets: int, floor: int) -> int:
     """So many reducers that each gets about TARGET_BYTES at all bands and 20 rare words a set."""
     return max(floor, -(-n_sets * (wordsets.BANDS + 20) * POSTING.itemsize // TARGET_BYTES))
@@ -65,7 +80,7 @@ def postings(sets: DataFrame, cells: np.ndarray, rare: int, threshold: float, le
                 mixed ^= mixed >> np.uint64(32)
                 mixed *= np.uint64(0xD6E8FEB86659FD93)
                 rec["key"] = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                rec["id"], rec["n"], rec["s"], rec["side"] = ids[pick][row], n[pick][row], sk[row], side
+                rec["id"], rec["n"], rec["s"] = ids[pick][row], noted(n[pick][row], side), sk[row]
                 held.append((((mixed >> np.uint64(32)) % np.uint64(destinations)).astype(np.int32), rec))
                 size += rec.nbytes
                 if size > 48 << 20:
@@ -89,7 +104,7 @@ def candidates(gathered: DataFrame, threshold: float, new_only: bool = False, sp
     come more than once. ``gathered``: postings, all of a destination in one task.
 
     A hot block, of more than ``split`` records, is not compared where it was gathered: every pair of its tiles goes
-    to a task of its own. new_only: only pairs with a set of side 1. The first step's result is a written table."""
+    to a task of its own. new_only: only pairs with a new set. The first step's result is a written table."""
 
     def limit(total):
         return wordsets.largest_difference(total, threshold)
@@ -110,12 +125,12 @@ def candidates(gathered: DataFrame, threshold: float, new_only: bool = False, sp
             return
         rec = np.concatenate(parts)
         del parts
-        rec = rec[np.lexsort((rec["side"], rec["id"], rec["key"], rec["dest"]))]
+        rec = rec[np.lexsort((rec["n"], rec["id"], rec["key"], rec["dest"]))]
         twice = np.zeros(len(rec), bool)  # copies of a set in one block count once
-        twice[1:] = (rec["id"][1:] == rec["id"][:-1]) & (rec["key"][1:] == rec["key"][:-1]) & (rec["dest"][1:] == rec["dest"][:-1]) & (rec["side"][1:] == rec["side"][:-1])
+        twice[1:] = (rec["id"][1:] == rec["id"][:-1]) & (rec["key"][1:] == rec["key"][:-1]) & (rec["dest"][1:] == rec["dest"][:-1]) & (rec["n"][1:] == rec["n"][:-1])
         rec = rec[~twice]
         start, length = _blocks(rec)
-        ids, sizes, sk, side = rec["id"].copy(), rec["n"].astype(np.int64), np.ascontiguousarray(rec["s"]), rec["side"].copy()
+        ids, sizes, sk, side = rec["id"].copy(), sizes_of(rec["n"]), np.ascontiguousarray(rec["s"]), is_new(rec["n"])
         found: list[np.ndarray] = []
         held = 0
 
@@ -165,13 +180,13 @@ def candidates(gathered: DataFrame, threshold: float, new_only: bool = False, sp
                 cut = int(np.frombuffer(blob[-8:], np.int64)[0])
                 x, y = np.frombuffer(blob[:cut], POSTING), np.frombuffer(blob[cut:-8], POSTING)
                 if len(y):
-                    i, j = bitslice.close_across(np.ascontiguousarray(x["s"]), x["n"].astype(np.int64), np.ascontiguousarray(y["s"]), y["n"].astype(np.int64), limit)
+                    i, j = bitslice.close_across(np.ascontiguousarray(x["s"]), sizes_of(x["n"]), np.ascontiguousarray(y["s"]), sizes_of(y["n"]), limit)
                 else:
                     y = x
-                    i, j = bitslice.close_pairs(np.ascontiguousarray(x["s"]), x["n"].astype(np.int64), limit)
+                    i, j = bitslice.close_pairs(np.ascontiguousarray(x["s"]), sizes_of(x["n"]), limit)
                 ok = x["id"][i] != y["id"][j]
                 if new_only:
-                    ok &= (x["side"][i] | y["side"][j]) == 1
+                    ok &= (is_new(x["n"])[i] | is_new(y["n"])[j]) == 1
                 a, c = x["id"][i][ok], y["id"][j][ok]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 

@@ -113,7 +113,7 @@ def _by_part(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> dic
 def _sorted(blobs: list[bytes]) -> np.ndarray:
     rec = np.frombuffer(b"".join(blobs), POSTING)
     rec = rec[np.lexsort((rec["id"], rec["key"]))].copy()
-    rec["side"] = 0
+    rec["n"] &= blocks.MANY  # in the store they are new no more
     return rec
 
 
