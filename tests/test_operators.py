@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import dates, geo, tags, text, web
 from tallyfold.operators import dedup, expiry, facets, merge, models, normalise, places, quota, search, triage
+from tallyfold.operators.corpus import within_budget
 from tallyfold.plans import discovery, smart_search
 from tallyfold.sources import files, pages
 from tallyfold.storage import new_folder
+from tallyfold.streaming import runs
 
 LISTING = (
     "ord long, id string, source string, source_url string, org_id string, org_name string, org_url string, opportunity_title string, description_short string, description_long string, cause_tags array<string>, unified_tags array<string>, is_virtual boolean, "
@@ -300,3 +303,67 @@ def test_the_whole_order_keeps_every_row(spark):
     assert len(got) == 3000 and [(r["v"], r["id"]) for r in sorted(got, key=lambda r: r["rank"])] == want
     assert sorted(r["rank"] for r in got) == list(range(1, 3001))
     assert expiry.in_order(F.col("id"))(rows.limit(0)).count() == 0
+
+
+def test_websearch_syntax(spark):
+    texts = ["Sort food at the pantry", "food pantry shift", "pantry food", "Animals need walks", "animal rescue league", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def hits(q):
+        return [r["i"] for r in df.where(search.websearch(F.col("t"), q)).orderBy("i").collect()]
+
+    assert hits("food pantry") == [0, 1, 2]
+    assert hits('"food pantry"') == [0, 1]  # stop words do not part a phrase
+    assert hits("food -sorting") == [1, 2]
+    assert hits('"food pantry" or animals -"rescue league"') == [0, 1, 3]
+    assert hits('"food pantry') == [0, 1]
+    assert hits("") == hits("the of") == hits("or") == []
+
+
+def test_steps_are_retried():
+    waits, left = [], [2]
+
+    def step():
+        left[0] -= 1
+        if left[0] >= 0:
+            raise OSError("busy")
+        return 7
+
+    assert files.retried(step, sleep=waits.append) == 7 and waits == [1.0, 2.0]
+    left[0] = 9
+    with pytest.raises(OSError):
+        files.retried(step, tries=3, sleep=waits.append)
+
+
+def test_a_table_survives_a_crash_between_its_moves(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    files.replace_table(spark.range(3), path)
+    os.rename(path, f"{path}.last")  # as a crash would leave it
+    files.replace_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    spark.range(4).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    assert runs.drained(stream(), "ids", path=f"{tmp_path}/run").count() == 4
+    spark.range(4, 6).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert sorted(r["id"] for r in runs.drained(stream(), "ids", path=f"{tmp_path}/run").collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_budget_of_a_hot_group(spark):
+    rows = [("hot", i, "x" * (i % 7)) for i in range(3000)] + [("cold", 1, "abcdef"), ("cold", 2, None), ("cold", 3, "")]
+    got = within_budget(spark.createDataFrame(rows, "g string, o long, t string"), "g", "o", "t", each=5, total=100).collect()
+    want, left = [], 100
+    for g, o, t in rows[:3000]:
+        if t and left:
+            want.append((g, o, t[:5][:left]))
+            left -= len(want[-1][2])
+    assert sorted(map(tuple, got)) == sorted([*want, ("cold", 1, "abcde")])
+
+
+def test_one_source_of_a_scrape(spark):
+    old = spark.createDataFrame([(1, "a", "x", "active"), (2, "b", "y", "active"), (3, "c", "x", None), (4, None, "x", "active")], "ord long, id string, source string, status string")
+    new = spark.createDataFrame([(5, "a", "x", "active"), (6, "d", "x", None), (7, "e", "y", None)], "ord long, id string, source string, status string")
+    got = {r["id"]: r["status"] for r in merge.merge_scraped(old, new, "x").collect()}
+    assert got == {"a": "active", "b": "active", "c": "inactive", "d": "active"}
