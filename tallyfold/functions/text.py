@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What counts as white space, no-break and other Unicode spaces included.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: How addresses and telephone numbers look in listings. Fixed patterns.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = r"\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}"
 #: Words that legal forms add to a body's name. Fixed values.

@@ -15,6 +15,11 @@ BOILERPLATE = ("script", "style", "nav", "footer", "header", "aside", "form", "n
 HELP_HINT = r"volunteer|get.?involved|ways.?to.?(help|give|serve)|join.?us|serve|opportunit|give.?back|help.?out|lend.?a.?hand"
 
 
+#: What an address scores for looking like a page of places to help: pattern, points for its path. Fixed values.
+HELP_POINTS = ((r"volunteer", 3), (r"get.?involved|ways.?to.?(help|serve|give)", 2), (r"opportunit", 1), (r"/app/|sign.?up|register|/login|/apply|/form", -3))
+QUERY_POINTS = -2  # for an address with a query. A fixed value.
+
+
 def unescaped(c: Column) -> Column:
     for name, sign in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(sign))
@@ -32,7 +37,7 @@ def page_text(c: Column, most: int = 12_000) -> Column:
     """A page's text without its boilerplate, one line a block, blank lines dropped, cut at ``most``."""
     t = c
     for tag in BOILERPLATE:
-        t = F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "\n")
+        t = F.regexp_replace(t, rf"(?is)<{tag}(?=[\s/>])[^>]*>.*?</{tag}\s*>", "\n")
     t = unescaped(F.regexp_replace(t, r"<[^>]+>", "\n"))
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\x{00A0}]+", " "))), lambda x: x != "")
     return F.substring(F.array_join(lines, "\n"), 1, most)
@@ -65,14 +70,10 @@ def links(html: Column) -> Column:
 
 def help_score(url: Column) -> Column:
     """How much an address looks like a page of places to help; sign-up forms and queries count against it."""
-    p = path(url)
-    return (
-        F.when(p.contains("volunteer"), 3).otherwise(0)
-        + F.when(p.rlike(r"get.?involved|ways.?to.?(help|serve|give)"), 2).otherwise(0)
-        + F.when(p.contains("opportunit"), 1).otherwise(0)
-        - F.when(url.contains("?"), 2).otherwise(0)
-        - F.when(p.rlike(r"/app/|sign.?up|register|/login|/apply|/form"), 3).otherwise(0)
-    )
+    total = F.when(url.contains("?"), QUERY_POINTS).otherwise(0)
+    for pattern, points in HELP_POINTS:
+        total = total + F.when(path(url).rlike(pattern), points).otherwise(0)
+    return total
 
 
 def name_from_domain(domain: Column) -> Column:

@@ -367,3 +367,8 @@ def test_one_source_of_a_scrape(spark):
     new = spark.createDataFrame([(5, "a", "x", "active"), (6, "d", "x", None), (7, "e", "y", None)], "ord long, id string, source string, status string")
     got = {r["id"]: r["status"] for r in merge.merge_scraped(old, new, "x").collect()}
     assert got == {"a": "active", "b": "active", "c": "inactive", "d": "active"}
+
+
+def test_only_whole_tag_names_are_boilerplate(spark):
+    df = spark.createDataFrame([("<header>gone</header><headers>kept</headers><form >gone</form ><formula>x</formula>",)], "h string")
+    assert df.select(web.page_text(F.col("h"))).first()[0] == "kept\nx"
