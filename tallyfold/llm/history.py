@@ -43,7 +43,8 @@ from tallyfold.storage import materialize, new_folder
 
 BITS_PER_KEY = 12
 PROBES = 4
-LANE_BITS = 23  # of the filter of what a batch looks for: a megabyte, whatever the batch
+LANE_BITS = 24  # of the filter of what a batch looks for: two megabytes, whatever the batch
+STEP, LARGEST = np.log(1.2), 22_000  # classes of sizes; sets of LARGEST words or more are of one class
 
 
 def _spots(key: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -231,18 +232,28 @@ class FingerprintStore:
         self._commit([(folder, b) for b in sorted(names)] or [(folder, None)], known[0][0])
 
     def _looked_up(self, prints: DataFrame, positive: DataFrame) -> DataFrame:
-        """The history's fingerprints with a key of the positives. Their keys go to the readers as a filter of
-        fixed size; keys it lets through by mistake form blocks without a new record and end there."""
+        """The history's fingerprints with a key of the positives, of sets whose size allows that they are alike. Keys with classes
+        of sizes go to the readers as a filter of fixed size; what it lets through by mistake finds no partner."""
+        threshold = self.threshold
 
-        def spots(part: int, key: np.ndarray) -> np.ndarray:
-            x = (key.astype(np.uint64) ^ np.uint64(part) << np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            return (x >> np.uint64(64 - LANE_BITS)).astype(np.int64)
+        def spots(part: int, key: np.ndarray, kind: np.ndarray) -> np.ndarray:
+            x = (key.astype(np.uint64) ^ np.uint64(part) << np.uint64(32) ^ kind.astype(np.uint64) << np.uint64(52)) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            return (x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - LANE_BITS)).astype(np.int64)
+
+        def logs(rec: np.ndarray) -> np.ndarray:
+            return np.log(np.minimum(blocks.sizes_of(rec["n"]), LARGEST))
 
         def lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             on = np.zeros(1 << LANE_BITS, np.uint8)
             for b in batches:
                 for part, blob in zip(b.column("dest").to_pylist(), b.column("blob").to_pylist()):
-                    on[spots(part, np.frombuffer(blob, POSTING)["key"])] = 1
+                    rec = np.frombuffer(blob, POSTING)
+                    size = logs(rec)
+                    low, high = (np.floor((size + np.log(threshold)) / STEP - 1e-9), np.floor((size - np.log(threshold)) / STEP + 1e-9))
+                    for k in range(int((high - low).max(initial=-1)) + 1):
+                        fits = low + k <= high
+                        on[spots(part, rec["key"][fits], np.maximum(low[fits] + k, 0))] = 1
             packed = np.packbits(on, bitorder="little").view(np.int64)
             at = np.flatnonzero(packed)
             for i in range(0, len(at), 50_000):
@@ -260,7 +271,7 @@ class FingerprintStore:
                 names, kept = [], []
                 for part, blob in zip(b.column("dest").to_pylist(), b.column("blob").to_pylist()):
                     rec = np.frombuffer(blob, POSTING)
-                    s = spots(part, rec["key"])
+                    s = spots(part, rec["key"], np.floor(logs(rec) / STEP))
                     rec = rec[(on[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
                     if len(rec):
                         names.append(part)
