@@ -61,6 +61,18 @@ def test_posteriors_come_with_the_groups(spark):
     assert got == {1: ("mon 9:00", 3), 11: (None, None)}
 
 
+
+@pytest.mark.parametrize("ranked", [0, 9])
+def test_every_source_has_an_accuracy_of_its_own(spark, ranked):
+    """Two sources, unlisted or beyond the seven most trusted ones: one always agrees with two others, one never does. Where
+    only these two speak, the first must win."""
+    ranks = [(f"rank{i}", i, None) for i in range(ranked - 2)] + ([("good", 7, None), ("bad", 8, None)] if ranked else [("x", 0, None)])
+    says = [(g, s, raw) for g in range(30) for s, raw in (("curated", "Mon 9:00"), ("feed", "Mon 9:00"), ("good", "Mon 9:00"), ("bad", f"Fri {g % 12}:00"))] + [(30, "good", "Tue"), (30, "bad", "Fri")]
+    df = spark.createDataFrame([(i, s, "Org", f"T{g}", "d", None, "2026-01-01", (raw,), None, None) for i, (g, s, raw) in enumerate(says)], LISTING)
+    last = survivors.fuse(df, spark.createDataFrame(ranks, RANKS)).where("group_key = 120").first()
+    assert last["schedule"] == "tue" and last["schedule_p"] > 0.9 and last["source"] == "good"
+
+
 GAZ = [(1, "Sorvery"), (2, "Lake Ulbombe"), (3, "Zimrery"), (4, "Zimrery Hills"), (5, "North Zimrery Hills"), (6, "Fort Haskith"), (7, "Quorvingo Springs"), (8, "Sorvery"), (9, None), (10, " ")]
 TOWNS = [
     ("Sorvery", None, 1), ("sorvery tx 00934", None, 1), ("Sorvmerzy", None, -1), ("Sorvry", None, 1), ("Sorveery", None, 1), ("Sovrery", None, 1), ("Qurvingo Springs", None, 7), ("Zmirery", None, 3), ("Lk. Ulbombe", None, 2), ("Zimrery Hills (TX)", None, 4), ("N. Zimrery Hls", None, 5),
