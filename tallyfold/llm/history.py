@@ -38,7 +38,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import blocks, wordsets
-from tallyfold.llm.blocks import POSTING
 from tallyfold.storage import materialize, new_folder
 
 BITS_PER_KEY = 12
@@ -111,8 +110,8 @@ def _by_part(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> dic
 
 
 def _sorted(blobs: list[bytes]) -> np.ndarray:
-    rec = np.frombuffer(b"".join(blobs), POSTING)
-    rec = rec[np.lexsort((rec["id"], rec["key"]))].copy()
+    rec = blocks.unpacked(blobs)
+    rec = rec[np.lexsort((rec["id"], rec["key"]))]
     rec["n"] &= blocks.MANY  # in the store they are new no more
     return rec
 
@@ -121,7 +120,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a part: its fingerprints sorted by key, and their Bloom filter."""
     for part, (blobs,) in _by_part(batches, ("blob",)).items():
         rec = _sorted(blobs)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rec.tobytes()], pa.binary()), pa.array([bloom(np.unique(rec["key"]))], pa.binary())], ["dest", "blob", "bloom"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blocks.packed(rec)], pa.binary()), pa.array([bloom(np.unique(rec["key"]))], pa.binary())], ["dest", "blob", "bloom"])
 
 
 def _prescreened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,13 +129,13 @@ def _prescreened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, (blobs, filters) in _by_part(batches, ("blob", "bloom")).items():
         if not blobs:
             continue
-        rec = np.frombuffer(b"".join(blobs), POSTING)
+        rec = blocks.unpacked(blobs)
         key, at, n = np.unique(rec["key"], return_inverse=True, return_counts=True)
         hit = n > 1
         for f in filters:
             hit |= in_bloom(key, f)
         want = rec[hit[at]]
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([want.tobytes() if len(want) else None], pa.binary()), pa.array([_sorted(blobs).tobytes()], pa.binary()), pa.array([bloom(key)], pa.binary())], ["dest", "wanted", "blob", "bloom"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blocks.packed(want) if len(want) else None], pa.binary()), pa.array([blocks.packed(_sorted(blobs))], pa.binary()), pa.array([bloom(key)], pa.binary())], ["dest", "wanted", "blob", "bloom"])
 
 
 class FingerprintStore:
@@ -242,7 +241,7 @@ class FingerprintStore:
             on = np.zeros(1 << LANE_BITS, np.uint8)
             for b in batches:
                 for part, blob in zip(b.column("dest").to_pylist(), b.column("blob").to_pylist()):
-                    on[spots(part, np.frombuffer(blob, POSTING)["key"])] = 1
+                    on[spots(part, blocks.unpacked([blob])["key"])] = 1
             packed = np.packbits(on, bitorder="little").view(np.int64)
             at = np.flatnonzero(packed)
             for i in range(0, len(at), 50_000):
@@ -259,12 +258,12 @@ class FingerprintStore:
             for b in batches:
                 names, kept = [], []
                 for part, blob in zip(b.column("dest").to_pylist(), b.column("blob").to_pylist()):
-                    rec = np.frombuffer(blob, POSTING)
+                    rec = blocks.unpacked([blob])
                     s = spots(part, rec["key"])
                     rec = rec[(on[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
                     if len(rec):
                         names.append(part)
-                        kept.append(rec.tobytes())
+                        kept.append(blocks.packed(rec))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kept, pa.binary())], ["dest", "blob"])
 
         return prints.mapInArrow(keep, "dest int, blob binary")

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyfold.llm import bitslice, neardup, wordsets
+from tallyfold.llm import bitslice, blocks, neardup, wordsets
 from tallyfold.llm.components import components
 from tallyfold.llm.history import FingerprintStore, bloom, in_bloom
 from tallyfold.storage import materialize
@@ -202,3 +202,19 @@ def test_store_commits_names_and_compacts(spark, tmp_path):
     store.compact()
     assert len({f for _, f, _ in store._manifest()}) == 1
     assert first | set(map(tuple, store.ingest(df(rows[50:]), "two").collect())) == whole
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 5000])
+def test_postings_are_packed_without_loss_and_below_their_size(n):
+    import zlib
+
+    rng = np.random.default_rng(n)
+    rec = np.zeros(n, blocks.POSTING)
+    rec["key"], rec["id"], rec["n"] = rng.integers(0, 1 << blocks.KEY_BITS, n), rng.integers(-(1 << 62), 1 << 62, n), blocks.noted(rng.integers(1, 200, n), n % 2)
+    rec["s"] = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+    blob = blocks.packed(rec)
+    both = blocks.unpacked([blob, blob])
+    assert len(both) == 2 * n
+    for half in (both[:n], both[n:]):
+        assert half[np.argsort(half["id"])].tobytes() == rec[np.argsort(rec["id"])].tobytes()
+    assert len(blob) == 29 * n and (n < 5000 or len(zlib.compress(blob, 1)) < 27.5 * n)
