@@ -14,6 +14,7 @@ Where a paragraph has marks, an event without any is none: its candidates are th
 the space is missing, and in Thai at spaces. Speech in quotes or brackets is no place for a gap. A paragraph without any mark has events
 between all of its words; their counts (``WORDS``) come from all words of all texts, case and punctuation put aside. Thai
 without spaces has them between all characters, with the characters before and after as words.
+Chinese and Japanese without marks stay whole: nothing is learnt of their boundaries within runs.
 
 All counts are expected counts over the whole corpus, from ROUNDS of estimation. The first round begins with a guess from marks,
 case and the word lists below; the lists have no other part. Counts are kept in tables of 2**CELL_BITS cells, so the
@@ -360,7 +361,6 @@ TRUST = 4.0  # a guess or a backed-off probability counts as so many observation
 WEIGHT = 0.5  # of what stands after against what stands before: the two words after tell much the same
 BESIDE = 20  # characters without a boundary between them to one with
 UNSEEN = 1e-3  # share of a shape that one word never seen takes, whatever the event
-FEWEST_WORDS = 6  # of a paragraph without marks in which events are looked for
 #: What the parser writes of a document.
 PARSED = "key long, unit_from array<int>, unit_to array<int>, unit array<int>, upto array<int>, onward array<int>, left array<int>, right array<int>, next array<int>, kind array<int>, shape array<int>, chain array<int>, prior array<float>, sort array<tinyint>"
 MARKED, WORDY, UNSPACED = 0, 1, 2  # sorts of gaps: at marks and spaces, between words, between characters
@@ -429,24 +429,24 @@ def parsed(text: str) -> list[list]:
 
 
 def _inner(run: str) -> Iterator[tuple[int, int, int]]:
-    """(place, cell before, cell after) of the places within a run of unspaced script."""
-    for at in range(LEFT_CHARS, len(run) - RIGHT_CHARS + 1):
+    """(place, cell before, cell after) of all places within a run of unspaced script; near its ends fewer characters stand beside."""
+    for at in range(1, len(run)):
         if unicodedata.category(run[at]) != "Mn":
-            yield at, _left_cells("_" + _token(run[at - LEFT_CHARS : at]))[0], _right_cells(_token(run[at : at + RIGHT_CHARS]))[0]
+            yield at, _left_cells("_" + _token(run[max(0, at - LEFT_CHARS) : at]))[0], _right_cells(_token(run[at : at + RIGHT_CHARS]))[0]
 
 
 def _unmarked(text: str, a: int, b: int, u: int) -> list[tuple]:
-    """The events of a paragraph without marks: between all its words, in Thai between all characters."""
+    """The events of a paragraph without marks: between all its words, whatever stands beside, and within Thai words between all
+    characters."""
     part = text[a:b]
     words = [(m.start(), m.end()) for m in WORD.finditer(part)]
-    if THAI.search(part):
-        if len(words) > 1 or len(part) < 4 * LEFT_CHARS:
-            return []
-        return [(u, a + at, a + at, left, right, 0, -1, 0, 0, 0.0, UNSPACED) for at, left, right in _inner(part)]
-    if len(words) < FEWEST_WORDS or CJK.search(part) or any(c in part for c in ":;,،؛"):
-        return []
-    cells = [_plain(part[s:e]) for s, e in words]
-    return [(u, a + words[i][1], a + words[i + 1][0], cells[i], cells[i + 1], 0, -1, 0, 0, 0.0, WORDY) for i in range(len(words) - 1)]
+    out: list[tuple] = []
+    for i, (s, e) in enumerate(words):
+        if i:
+            out.append((u, a + words[i - 1][1], a + s, _plain(part[words[i - 1][0] : words[i - 1][1]]), _plain(part[s:e]), 0, -1, 0, 0, 0.0, WORDY))
+        if THAI.search(part, s, e):
+            out += [(u, a + s + at, a + s + at, left, right, 0, -1, 0, 0, 0.0, UNSPACED) for at, left, right in _inner(part[s:e])]
+    return out
 
 
 class Model:

@@ -202,3 +202,19 @@ def test_events_between_unmarked_words(spark):
     for x in sentences.sentences(df, "doc_id", "text").where(f"key >= {len(rows)}").orderBy("start_at").collect():
         got[x["key"] - len(rows)].append(typed[x["key"] - len(rows)][x["start_at"] : x["end_at"]])
     assert got == {0: CLAUSES["en"], 1: CLAUSES["es"], 2: THAI_SAID}
+
+
+def test_events_at_all_places_of_unmarked_paragraphs(spark):
+    """Also in paragraphs with commas or colons, in short ones, and near the end of a run of Thai."""
+    r, rows = random.Random(7), []
+    clauses, thai = ["please bring water, gloves and a hat", "one rule: be on time", "doors open", "tools provided"], [*THAI_SAID[:2], "จบนะ"]
+    for _ in range(300):
+        rows.append(" ".join(x.capitalize() + "." for x in r.choices(clauses, k=6)))
+        rows.append(" ".join(r.sample(thai, 3)))
+    typed = [(" ", [clauses[1], clauses[0], clauses[3]]), ("\n", ["Doors open", "tools provided"]), ("", thai)]
+    df = spark.createDataFrame(list(enumerate([*rows, *[by.join(x) for by, x in typed]])), "doc_id long, text string")
+    got = defaultdict(list)
+    for x in sentences.sentences(df, "doc_id", "text").where(f"key >= {len(rows)}").orderBy("start_at").collect():
+        by, said = typed[x["key"] - len(rows)]
+        got[x["key"] - len(rows)].append(by.join(said)[x["start_at"] : x["end_at"]])
+    assert got == dict(enumerate(said for _, said in typed))
